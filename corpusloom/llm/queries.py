@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, mixing, packing, quality, secrets, url_filter
+from . import embedding_dedup, fingerprint, mixing, packing, quality, secrets, url_filter
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op3_quality, op4_mix, op5_pack, op9_fingerprint, op10_url_filter)}
+    return {f.__name__: f for f in (op1_secret_scan, op3_quality, op4_mix, op5_pack, op8_embedding_dedup, op9_fingerprint, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
