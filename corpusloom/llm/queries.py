@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, fingerprint, mixing, packing, quality, secrets, url_filter
+from . import embedding_dedup, fingerprint, minhash, mixing, packing, quality, secrets, url_filter
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,7 +43,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op3_quality, op4_mix, op5_pack, op8_embedding_dedup, op9_fingerprint, op10_url_filter)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_near_dedup, op3_quality, op4_mix, op5_pack, op8_embedding_dedup, op9_fingerprint, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
