@@ -35,8 +35,7 @@ def outcomes(ranked: DataFrame, targets: DataFrame, questions: DataFrame, retrie
     hit = matches(ranked, targets)
     positions = hit.groupBy("query_id", "retriever").agg(F.array_sort(F.collect_set("rank")).alias("positions"))
     firsts = first_ranks(hit).groupBy("query_id", "retriever").agg(F.array_sort(F.collect_list("rank")).alias("target_positions"))
-    labels = targets.select("query_id", target_label(F.col("doc"), F.col("section"), F.col("heading")).alias("label")).distinct()
-    totals = labels.groupBy("query_id").agg(F.count("*").cast("int").alias("total_relevant"))
+    totals = targets.groupBy("query_id").agg(F.count("*").cast("int").alias("total_relevant"))
     none = F.array().cast("array<int>")
     # Every question meets every retriever: the retrievers are a handful.
     grid = questions.select("query_id").crossJoin(F.broadcast(retrievers.select("retriever")))
