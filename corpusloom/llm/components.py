@@ -6,12 +6,29 @@ with very many neighbours is a skewed join that can be split, never a collected
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
 
 
+def spanning_forest(n: int, i: np.ndarray, j: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """For each of n nodes the node of least ``rank`` in its component under the links (i, j)."""
+    order = np.argsort(rank, kind="stable")
+    place = np.empty(n, dtype=np.int64)
+    place[order] = np.arange(n)
+    label = place.copy()
+    while True:
+        before = label.copy()
+        np.minimum.at(label, i, before[j])
+        np.minimum.at(label, j, before[i])
+        label = label[order[label]]
+        if (label == before).all():
+            break
+    return order[label]
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the least of the node and its neighbours."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

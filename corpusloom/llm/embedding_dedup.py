@@ -20,8 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
-from .components import connected_components
+from .common import arrow_batch, stage
+from .components import connected_components, spanning_forest
 
 #: Products of int8 values of this many dimensions are exact in single precision.
 EXACT_DIMS = 1024
@@ -74,24 +74,6 @@ def tile_links(a: np.ndarray, b: np.ndarray, threshold: float, same: bool) -> tu
     return np.concatenate([none, *found_i]), np.concatenate([none, *found_j])
 
 
-def spanning_forest(n: int, i: np.ndarray, j: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """For each of n nodes the node of least ``rank`` in its component under the links (i, j)."""
-    root = np.arange(n)
-    order = np.argsort(rank, kind="stable")
-    place = np.empty(n, dtype=np.int64)
-    place[order] = np.arange(n)
-    label = place.copy()
-    while True:
-        before = label.copy()
-        np.minimum.at(label, i, before[j])
-        np.minimum.at(label, j, before[i])
-        label = label[order[label]]
-        if (label == before).all():
-            break
-    root[:] = order[label]
-    return root
-
-
 def _tiles(reps: DataFrame, tile_rows: int) -> DataFrame:
     """``label, dim, tile, n, ids, weights, vectors``: blobs of about ``tile_rows`` class representatives."""
     counts = reps.groupBy("label", "dim").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("tiles"))
@@ -144,7 +126,8 @@ def near_duplicates(
                 if linked.any():
                     yield pd.DataFrame({"rep": ids[linked], "links": links[linked].astype(np.int64), "root": ids[root[linked]]})
 
-    found = stage(work.mapInPandas(compare, "rep long, links long, root long"), "emb-links")
+    with arrow_batch(vectors.sparkSession, 16):  # a row holds two tiles
+        found = stage(work.mapInPandas(compare, "rep long, links long, root long"), "emb-links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     classed = (

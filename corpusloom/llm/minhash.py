@@ -2,10 +2,12 @@
 
 A document is its set of distinct word shingles.  Equal sets form one class.  Each class has 200 universal-hash
 minima; 40 bands of five propose candidates (a pair at the threshold 0.8 shares no band with probability 1.2e-7).
-Members of a band bucket are compared with one of them, drawn by hash per bucket, not with each other.  Where a bucket
-then still holds several components, members outside its largest one are compared with all others of the bucket, so
-that no link within a bucket is lost.  Comparisons pass the signature check (their estimate may fall short of the
-threshold by about five standard deviations) and are decided on the full sets.
+Members of a band bucket are compared with one of them, its centre (the class with most copies), not with each other:
+all who met one centre form a group.  A group of bounded size is settled in one task: a signature check against the
+centre (the estimate may fall short of the threshold by about five standard deviations), then the full sets; members
+outside the largest component found so far are compared with the whole group, as products of 0/1 matrices.  In larger
+groups the comparisons with the centre are joins, and the rest are pairs of tiles of sets.  Tasks return spanning
+forests, not pairs.  So every pair that shares a bucket is in one component or has been compared on its full sets.
 
 Edge cases: null texts and texts without words have an empty set and link with nothing; fewer words than a shingle
 make one shingle of the whole sequence; repeated rows with one id are one node with the union of the rows' links;
@@ -19,11 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, text_or_empty
-from .components import connected_components
+from .common import arrow_batch, stage, text_or_empty
+from .components import connected_components, spanning_forest
 
 BANDS, ROWS = 40, 5
 MINIMA = BANDS * ROWS
@@ -93,91 +95,241 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInPandas(sign, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, digest binary, bands array<long>, sig binary")
 
 
-def _screen(pairs: DataFrame, sigs: DataFrame, floor: float, threshold: float) -> DataFrame:
-    """The pairs (a, b) that sizes and signatures leave possible."""
-    side = lambda name: sigs.select(F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), F.col("sig").alias(f"s_{name}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
-
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                x = np.frombuffer(b"".join(batch["s_a"]), np.uint8).reshape(-1, MINIMA)
-                y = np.frombuffer(b"".join(batch["s_b"]), np.uint8).reshape(-1, MINIMA)
-                yield batch.loc[(x == y).mean(axis=1) >= floor, ["a", "b"]]
-
-    return both.select("a", "b", "s_a", "s_b").mapInPandas(check, "a long, b long")
+def _possible(n_a: str, n_b: str, percent: int):
+    """Sets whose sizes differ more than this cannot reach the threshold."""
+    return 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
-    side = lambda name: sets.select(F.col("rep").alias(name), F.col("grams").alias(f"g_{name}"))
+    """The pairs (a, b) that reach the threshold: signatures first, then the full sets decide."""
+    side = lambda name: sets.select(F.col("rep").alias(name), F.col("sig").alias(f"s_{name}"), F.col("grams").alias(f"g_{name}"))
+    floor = percent / 100 - 0.14
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keep = []
-            for p, q in zip(batch["g_a"], batch["g_b"], strict=True):
-                x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+            if not len(batch):
+                continue
+            sig = lambda c: np.frombuffer(b"".join(batch[c]), np.uint8).reshape(-1, MINIMA)  # noqa: B023, E731
+            keep = (sig("s_a") == sig("s_b")).mean(axis=1) >= floor
+            for k in np.flatnonzero(keep):
+                x, y = np.frombuffer(batch["g_a"].iloc[k], np.uint64), np.frombuffer(batch["g_b"].iloc[k], np.uint64)
                 common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+                keep[k] = 100 * common >= percent * (len(x) + len(y) - common)
             yield batch.loc[keep, ["a", "b"]]
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "g_a", "g_b").mapInPandas(check, "a long, b long")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return stage(both.select("a", "b", "s_a", "s_b", "g_a", "g_b").mapInPandas(check, "a long, b long"), "mh-links")
 
 
-def _full_sets(pairs: DataFrame, base: DataFrame, width: int) -> DataFrame:
-    """``rep, grams`` of the documents in ``pairs``; only their texts are shingled again."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _worth_comparing(placed: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
+    """``c, draw``: who must be compared within the group of centre c, by signatures.
 
-    def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    With distances 1 - J: a member farther from its centre than the threshold allows (less its error) is a stray.  Two
+    strays of a bucket may be near each other, so they stay.  A single stray may be near a member that is near the
+    centre only within the sum of both distances (less the error), else it goes.
+    """
+    near = percent / 100 - 0.14
+    reach = percent / 100 + near - 1 - 0.1
+    side = lambda name, sig: drawn.select(F.col("draw").alias(name), F.col("sig").alias(sig))
+
+    def estimate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"rep": batch["doc_id"], "grams": [shingle_set(t, width).tobytes() for t in batch["text"]]})
+            if len(batch):
+                x, y = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(-1, MINIMA) for c in ("s_c", "s_d"))
+                yield batch[["c", "draw"]].assign(est=(x == y).mean(axis=1))
 
-    return stage(base.join(ids, "doc_id", "left_semi").mapInPandas(again, "rep long, grams binary"), "mh-sets")
+    pairs = placed.where("c != draw").select("c", "draw").distinct().join(side("c", "s_c"), "c").join(side("draw", "s_d"), "draw")
+    judged = pairs.select("c", "draw", "s_c", "s_d").mapInPandas(estimate, "c long, draw long, est double")
+    rated = stage(placed.where("c != draw").join(judged, ["c", "draw"]), "mh-rated")
+    strays = rated.where(F.col("est") < near).groupBy("band").agg(F.count("*").alias("strays")).where("strays > 1")
+    stay = rated.where(F.col("est") >= reach).select("c", "draw").unionByName(rated.where(F.col("est") < near).join(strays, "band", "left_semi").select("c", "draw")).distinct()
+    return stage(stay.unionByName(stay.select("c", F.col("c").alias("draw")).distinct()), "mh-met")
 
 
-def _links(pairs: DataFrame, sigs: DataFrame, base: DataFrame, width: int, percent: int) -> DataFrame:
-    likely = stage(_screen(pairs, sigs, percent / 100 - 0.14, percent / 100), "mh-likely")
-    return stage(_verify(likely, _full_sets(likely, base, width), percent), "mh-links")
+def _full_sets(base: DataFrame, groups: DataFrame, sigs: DataFrame, width: int) -> DataFrame:
+    """``rep, n, sig, grams`` of the classes that share a bucket with another; only their texts are shingled again."""
 
+    def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"rep": batch["doc_id"], "grams": [shingle_set(t, width).tobytes() for t in batch["text"]]})
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    ids = groups.select(F.col("rep").alias("doc_id")).distinct()
+    # The ids grow with the corpus, so they are not broadcast.
+    sets = base.join(ids.hint("merge"), "doc_id", "left_semi").mapInPandas(again, "rep long, grams binary")
+    # Of rows that repeat an id, only the one whose set has the class's digest counts.
+    named = sets.withColumn("n", (F.length("grams") / 8).cast("long")).join(sigs, ["rep", "n"]).dropDuplicates(["rep"])
+    return stage(named.select("rep", "n", "sig", "grams"), "mh-sets")
+
+
+def _tiles(rows: DataFrame, tile_rows: int) -> DataFrame:
+    """``centre, step, chunk, parts, sizes, grams`` of ``centre, component, n, grams``: tiles of sets of similar size."""
+    stepped = rows.withColumn("step", F.floor(F.log("n") / float(np.log(1.1))).cast("int"))
+    chunks = stepped.groupBy("centre", "step").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("chunks"))
+    placed = stepped.join(chunks, ["centre", "step"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
+
+    def blob(group: pd.DataFrame) -> pd.DataFrame:
+        first = group.iloc[:1]
+        packed = {"parts": group["component"].to_numpy(np.int64).tobytes(), "sizes": group["n"].to_numpy(np.int64).tobytes(), "grams": b"".join(group["grams"])}
+        return pd.DataFrame({"centre": first["centre"], "step": first["step"], "chunk": first["chunk"], **{k: [v] for k, v in packed.items()}})
+
+    schema = "centre long, step int, chunk long, parts binary, sizes binary, grams binary"
+    return placed.select("centre", "step", "chunk", "component", "n", "grams").groupBy("centre", "step", "chunk").applyInPandas(blob, schema)
+
+
+def common_counts(grams_x: np.ndarray, sizes_x: np.ndarray, grams_y: np.ndarray, sizes_y: np.ndarray, columns: int = 1 << 15) -> np.ndarray:
+    """Sizes of the intersections of all sets of x with all of y, as products of 0/1 matrices over shared elements."""
+    vocabulary = np.intersect1d(grams_x, grams_y)
+    total = np.zeros((len(sizes_x), len(sizes_y)), np.float64)
+
+    def places(grams: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        row, at = np.repeat(np.arange(len(sizes)), sizes), np.searchsorted(vocabulary, grams)
+        inside = at < len(vocabulary)
+        inside[inside] = vocabulary[at[inside]] == grams[inside]
+        return row[inside], at[inside]
+
+    (rx, cx), (ry, cy) = places(grams_x, sizes_x), places(grams_y, sizes_y)
+    for begin in range(0, len(vocabulary), columns):
+        width = min(columns, len(vocabulary) - begin)
+        side = []
+        for row, col, n in ((rx, cx, len(sizes_x)), (ry, cy, len(sizes_y))):
+            here = (col >= begin) & (col < begin + width)
+            matrix = np.zeros((n, width), np.float32)
+            matrix[row[here], col[here] - begin] = 1
+            side.append(matrix)
+        total += side[0] @ side[1].T
+    return total
+
+
+def group_forest(centre: int, ids: np.ndarray, sizes: np.ndarray, sigs: np.ndarray, grams: np.ndarray, percent: int) -> np.ndarray:
+    """For each set of a group the number of the least-id set of its component, over all links in the group.
+
+    First all are compared with the centre, then those outside the largest component with all others.
+    """
+    offsets = np.concatenate(([0], np.cumsum(sizes)))
+    sets = [grams[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
+    c = int(np.flatnonzero(ids == centre)[0])
+
+    def linked(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+        pick = lambda at: np.concatenate([sets[k] for k in at])
+        common = common_counts(pick(rows), sizes[rows], pick(others), sizes[others])
+        return 100 * common >= percent * (sizes[rows][:, None] + sizes[others][None, :] - common)
+
+    possible = (100 * np.minimum(sizes, sizes[c]) >= percent * np.maximum(sizes, sizes[c])) & ((sigs == sigs[c]).mean(axis=1) >= percent / 100 - 0.14)
+    near = np.flatnonzero(possible)
+    near = near[linked(np.array([c]), near)[0]]
+    label = np.arange(len(ids))
+    label[near] = c
+    found = [(near, np.full(len(near), c))]
+    main = np.bincount(label).argmax()
+    asked = np.flatnonzero(label != main) if len(ids) > 2 else near[:0]
+    for at in range(0, len(asked), 128):
+        x = asked[at : at + 128]
+        for begin in range(0, len(ids), 512):
+            y = np.arange(begin, min(begin + 512, len(ids)))
+            i, j = np.nonzero(linked(x, y) & (label[x][:, None] != label[y][None, :]))
+            found.append((x[i], y[j]))
+    i, j = (np.concatenate(v) for v in zip(*found, strict=True))
+    return spanning_forest(len(ids), i, j, ids)
+
+
+def _group_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Spanning forests (a, b) of the groups ``centre, rep``, one group of bounded size at a time."""
+
+    def settle(group: pd.DataFrame) -> pd.DataFrame:
+        ids = group["rep"].to_numpy(np.int64)
+        sigs = np.frombuffer(b"".join(group["sig"]), np.uint8).reshape(len(ids), MINIMA)
+        grams = np.frombuffer(b"".join(group["grams"]), np.uint64)
+        root = group_forest(int(group["centre"].iloc[0]), ids, group["n"].to_numpy(np.int64), sigs, grams, percent)
+        edges = pd.DataFrame({"a": ids, "b": ids[root]})
+        return edges[edges["a"] != edges["b"]]
+
+    rows = groups.select("centre", "rep").join(sets, "rep").select("centre", "rep", "n", "sig", "grams")
+    return stage(rows.groupBy("centre").applyInPandas(settle, "a long, b long"), "mh-links")
+
+
+def _block_links(asked: DataFrame, members: DataFrame, percent: int, tile_rows: int) -> DataFrame:
+    """Links (a, b) between components, from comparing each group's ``asked`` with its ``members``, both
+    ``centre, rep, component, n, grams``, tile by tile.  A task returns a spanning forest of each tile pair's
+    components, not its pairs."""
+    side = lambda rows, name: _tiles(rows, tile_rows).select("centre", *[F.col(c).alias(f"{name}_{c}") for c in ("step", "parts", "sizes", "grams")])
+    near = int(np.ceil(np.log(100 / percent) / np.log(1.1))) + 1
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                (px, nx), (py, ny) = ([np.frombuffer(v, np.int64) for v in pair] for pair in ((r.x_parts, r.x_sizes), (r.y_parts, r.y_sizes)))
+                common = common_counts(np.frombuffer(r.x_grams, np.uint64), nx, np.frombuffer(r.y_grams, np.uint64), ny)
+                linked = (100 * common >= percent * (nx[:, None] + ny[None, :] - common)) & (px[:, None] != py[None, :])
+                i, j = np.nonzero(linked)
+                if len(i):
+                    parts, number = np.unique(np.concatenate([px[i], py[j]]), return_inverse=True)
+                    root = spanning_forest(len(parts), number[: len(i)], number[len(i) :], parts)
+                    yield pd.DataFrame({"a": parts, "b": parts[root]})
+
+    # A row holds two tiles of sets, so a batch may hold only a few rows.
+    work = side(asked, "x").join(side(members, "y"), "centre").where(F.abs(F.col("x_step") - F.col("y_step")) <= near)
+    with arrow_batch(asked.sparkSession, 8):
+        return stage(work.mapInPandas(compare, "a long, b long").where("a != b"), "mh-block-links")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, group_grams: int = 1 << 18, tile_rows: int = 128) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row; ids are integers."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     signed = stage(signatures(base, width), "mh-signed")
-    classes = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    members = stage(signed.select("doc_id", "digest").join(classes, "digest"), "mh-members")
+    classes = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    named = stage(signed.select("doc_id", "digest").join(classes.select("digest", "rep"), "digest"), "mh-members")
     # A representative's own row (one of them, if its id is repeated) carries the class's signature.
-    reps = signed.withColumnRenamed("doc_id", "rep").join(classes, ["digest", "rep"]).select("rep", F.col("n_shingles").alias("n"), "sig", "bands")
-    sigs = stage(reps.dropDuplicates(["rep"]), "mh-sigs")
-
-    rows = sigs.select("rep", F.explode("bands").alias("band"))
-    draw = F.struct(F.xxhash64("rep", "band").alias("h"), F.col("rep").alias("centre"))
-    buckets = rows.groupBy("band").agg(F.count("*").alias("size"), F.min(draw)["centre"].alias("centre")).where("size > 1")
-    placed = stage(rows.join(buckets, "band").select("band", "rep", "size", "centre"), "mh-placed")
+    reps = signed.withColumnRenamed("doc_id", "rep").join(classes, ["digest", "rep"]).dropDuplicates(["digest", "rep"])
+    sigs = stage(reps.select("rep", "copies", F.col("n_shingles").alias("n"), "sig", "bands"), "mh-sigs")
+
+    # Classes are drawn as centres by copies, then hash: originals are copied more than their variants.  Bucket rows
+    # carry nothing else, so that they stay small; should two classes draw the same number, both are the centre.
+    draw = F.shiftleft(32767 - F.least("copies", F.lit(32767)), 48).bitwiseOR(F.xxhash64("rep").bitwiseAND(F.lit((1 << 48) - 1)))
+    drawn = stage(sigs.select(draw.alias("draw"), "rep", "n", "sig"), "mh-drawn")
+    rows = sigs.select(draw.alias("draw"), F.explode("bands").alias("band"))
+    buckets = rows.groupBy("band").agg(F.count("*").alias("size"), F.min("draw").alias("c")).where("size > 1")
+    placed = stage(rows.join(buckets, "band").select("band", "c", "draw"), "mh-placed")
+    met = _worth_comparing(placed, drawn, percent)
+    groups = met.join(drawn.drop("sig"), "draw").join(drawn.select(F.col("draw").alias("c"), F.col("rep").alias("centre"), F.col("n").alias("m")), "c")
+    groups = stage(groups.select("centre", "rep", "n", "m").distinct(), "mh-groups")
+    sets = _full_sets(base, groups, sigs.select("rep", "n", "sig"), width)
     ordered = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-    first = stage(placed.where("rep != centre").select(*ordered("rep", "centre")).distinct(), "mh-pairs")
-    links = _links(first, sigs, base, width, percent)
-    parts = connected_components(links)
-
-    # Buckets that the comparisons with their centre have not settled.
-    open_ = placed.where("size > 2").join(parts, F.col("rep") == F.col("node"), "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
-    by_part = open_.groupBy("band", "component").agg(F.count("*").alias("n"))
-    largest = by_part.groupBy("band").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component"))["component"].alias("main")).where("parts > 1")
-    unsettled = stage(open_.join(largest, "band").select("band", "rep", "component", "main"), "mh-unsettled")
-    outside = unsettled.where("component != main").select("band", F.col("rep").alias("x"), F.col("component").alias("cx"))
-    others = unsettled.select("band", F.col("rep").alias("y"), F.col("component").alias("cy"))
-    rest = outside.join(others, "band").where("cx != cy").select(*ordered("x", "y")).distinct().join(first, ["a", "b"], "left_anti")
-    more = _links(stage(rest, "mh-rest"), sigs, base, width, percent)
-    joined = more.join(parts.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").select(F.coalesce("ca", "a").alias("a"), "b")
-    joined = joined.join(parts.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left").select("a", F.coalesce("cb", "b").alias("b"))
-    upper = connected_components(joined)
+    totals = groups.groupBy("centre").agg(F.sum("n").alias("grams"))
+    sized = groups.join(totals, "centre")
+    links = _group_links(sized.where(F.col("grams") <= group_grams), sets, percent)
+    large = stage(sized.where(F.col("grams") > group_grams), "mh-large")
+    if large.isEmpty():
+        return _labelled(signed, named, connected_components(links))
+    first = large.where("rep != centre").where(_possible("n", "m", percent)).select(*ordered("rep", "centre")).distinct()
+    parts = connected_components(links.unionByName(_verify(first, sets, percent)))
+    known = sets.select("rep").join(parts, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("component"))
+    open_ = stage(large.select("centre", "rep", "n").join(known, "rep"), "mh-open")
+    by_part = open_.groupBy("centre", "component").agg(F.count("*").alias("members"))
+    unsettled = by_part.groupBy("centre").agg(F.count("*").alias("parts"), F.max(F.struct("members", "component"))["component"].alias("main")).where("parts > 1")
+    crowd = open_.join(unsettled.select("centre", "main"), "centre").join(sets.select("rep", "grams"), "rep")
+    more = _block_links(crowd.where("component != main"), crowd, percent, tile_rows)
+    upper = connected_components(more)
     final = (
         parts.join(upper.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
         .select("node", F.coalesce("top", "component").alias("component")).unionByName(upper)
         .groupBy("node").agg(F.min("component").alias("component"))
     )
-    owner = members.join(final, F.col("rep") == F.col("node"), "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "rep").alias("component"))
+    return _labelled(signed, named, final)
+
+
+def _labelled(signed: DataFrame, named: DataFrame, parts: DataFrame) -> DataFrame:
+    owner = named.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "rep").alias("component"))
     owner = owner.groupBy("id").agg(F.min("component").alias("component"))
     out = signed.select("doc_id", "n_shingles").join(owner, F.col("doc_id") == F.col("id"), "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of ``docs``, all columns, for each group of near duplicates: the one of least id.  An id names one
+    document, so of rows that repeat an id one stays; rows without an id all stay."""
+    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    row = docs.select(F.col(id_col).alias("row_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    stays = row.join(kept, F.col("row_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    place = F.row_number().over(Window.partitionBy("row_id").orderBy(F.xxhash64("row")))
+    return stays.withColumn("place", place).where("place = 1 or row_id is null").select("row.*")
