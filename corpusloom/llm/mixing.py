@@ -142,3 +142,13 @@ def mix(
     return rows.select("doc_id", "size", "source_size", "target", F.least(copies, F.lit(top)).alias("copies"), "rate").select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate"
     )
+
+
+def take(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """``docs`` as mixed: each row as often as it is taken, all columns kept.  Ids must be unique; rows without words,
+    which add nothing to any source, stay once."""
+    mixed = mix(docs, id_col=id_col, **options).select(F.col("doc_id").alias("mixed_id"), F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).cast("int").alias("mixed_copies"))
+    mixed = mixed.where("mixed_copies > 0")
+    row = docs.select(F.col(id_col).alias("mixed_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = row.join(mixed, F.col("mixed_key").eqNullSafe(F.col("mixed_id")))
+    return joined.select("row", F.explode(F.array_repeat(F.lit(1), F.col("mixed_copies")))).select("row.*")

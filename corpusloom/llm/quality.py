@@ -191,10 +191,28 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % 3 == 1
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.5, **options) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for every document; held-out rows' labels are never read."""
+def train_model(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **options) -> tuple[DataFrame, QualityModel]:
+    """The statistics of all documents (written once) and a model fitted without held-out rows."""
     stats = stage(statistics(docs, id_col, text_col), "quality-stats")
     known = labels.select(F.col("doc_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)").where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
-    train = stage(stats.join(known, "doc_id"), "quality-train")
-    scored = score(stats, fit(train, **options))
+    return stats, fit(stage(stats.join(known, "doc_id"), "quality-train"), **options)
+
+
+def filter_quality(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", threshold: float = 0.5, **options) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score reaches ``threshold``; each row is scored where it is read, so no
+    text is shuffled."""
+    _, model = train_model(docs, labels, text_col=text_col, **options)
+
+    @F.pandas_udf("double")
+    def row_score(texts: pd.Series) -> pd.Series:
+        x = np.array([text_statistics(t) for t in texts]).reshape(len(texts), len(STATISTICS))
+        return pd.Series(model.score(x))
+
+    return docs.where(row_score(text_or_empty(text_col)) >= threshold)
+
+
+def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.5, **options) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` for every document; held-out rows' labels are never read."""
+    stats, model = train_model(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, **options)
+    scored = score(stats, model)
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, fingerprint, minhash, mixing, packing, quality, secrets, suffix_dedup, url_filter
+from . import embedding_dedup, fingerprint, license_scan, minhash, mixing, packing, quality, secrets, suffix_dedup, url_filter
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_near_dedup, op3_quality, op4_mix, op5_pack, op7_suffix_dedup, op8_embedding_dedup, op9_fingerprint, op10_url_filter)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_near_dedup, op3_quality, op4_mix, op5_pack, op6_license_scan, op7_suffix_dedup, op8_embedding_dedup, op9_fingerprint, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
