@@ -51,7 +51,7 @@ def best_sentences(passages: DataFrame, questions: DataFrame, n: int = SENTENCES
     """``query_id, rank, sentence_rank, overlap, sentence``: per passage the ``n`` sentences that share most words (over
     two characters) with the question, earlier ones first on ties."""
     terms = questions.select("query_id", term_set(F.col("question"), 2).alias("terms"))
-    split = passages.join(F.broadcast(terms), "query_id").select("query_id", "rank", "terms", F.posexplode(sentences(F.col(text_col))).alias("pos", "sentence"))
+    split = passages.join(terms, "query_id").select("query_id", "rank", "terms", F.posexplode(sentences(F.col(text_col))).alias("pos", "sentence"))
     overlap = F.size(F.array_intersect("terms", term_set(F.col("sentence"))))
     scored = split.select("query_id", "rank", "pos", "sentence", overlap.alias("overlap"))
     order = Window.partitionBy("query_id", "rank").orderBy(F.col("overlap").desc(), "pos")
