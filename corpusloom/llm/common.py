@@ -5,8 +5,6 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +15,7 @@ WORD_SQL = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -36,24 +35,28 @@ def shared_dir(spark: SparkSession) -> str:
     return ctx._jsc.sc().getCheckpointDir().get()
 
 
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Send some megabytes at a time to Python, whatever the length of the rows, unless the session has a bound already."""
+    if int(spark.conf.get(BATCH_KEY)) >= (1 << 31) - 1:
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
+
+
 def stage(df: DataFrame, label: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    bound_batches(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def arrow_batch(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Within it, jobs send at most ``rows`` rows at a time to Python, for rows of some megabytes each."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove files of the shared folder that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def ascii_lower(c: Column) -> Column:

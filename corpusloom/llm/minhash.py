@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, stage, text_or_empty
+from .common import stage, text_or_empty
 from .components import connected_components, spanning_forest
 
 BANDS, ROWS = 40, 5
@@ -176,7 +176,7 @@ def _tiles(rows: DataFrame, tile_rows: int) -> DataFrame:
     return placed.select("centre", "step", "chunk", "component", "n", "grams").groupBy("centre", "step", "chunk").applyInPandas(blob, schema)
 
 
-def common_counts(grams_x: np.ndarray, sizes_x: np.ndarray, grams_y: np.ndarray, sizes_y: np.ndarray, columns: int = 1 << 15) -> np.ndarray:
+def common_counts(grams_x: np.ndarray, sizes_x: np.ndarray, grams_y: np.ndarray, sizes_y: np.ndarray, columns: int = 1 << 13) -> np.ndarray:
     """Sizes of the intersections of all sets of x with all of y, as products of 0/1 matrices over shared elements."""
     vocabulary = np.intersect1d(grams_x, grams_y)
     total = np.zeros((len(sizes_x), len(sizes_y)), np.float64)
@@ -205,13 +205,17 @@ def group_forest(centre: int, ids: np.ndarray, sizes: np.ndarray, sigs: np.ndarr
 
     First all are compared with the centre, then those outside the largest component with all others.
     """
-    offsets = np.concatenate(([0], np.cumsum(sizes)))
-    sets = [grams[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
+    # Elements of one set only are in no intersection.
+    _, number, times = np.unique(grams, return_inverse=True, return_counts=True)
+    shared = times[number] > 1
+    row = np.repeat(np.arange(len(ids)), sizes)[shared]
+    length = np.bincount(row, minlength=len(ids))
+    sets = np.split(grams[shared], np.cumsum(length)[:-1])
     c = int(np.flatnonzero(ids == centre)[0])
 
     def linked(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
         pick = lambda at: np.concatenate([sets[k] for k in at])
-        common = common_counts(pick(rows), sizes[rows], pick(others), sizes[others])
+        common = common_counts(pick(rows), length[rows], pick(others), length[others])
         return 100 * common >= percent * (sizes[rows][:, None] + sizes[others][None, :] - common)
 
     possible = (100 * np.minimum(sizes, sizes[c]) >= percent * np.maximum(sizes, sizes[c])) & ((sigs == sigs[c]).mean(axis=1) >= percent / 100 - 0.14)
@@ -266,10 +270,8 @@ def _block_links(asked: DataFrame, members: DataFrame, percent: int, tile_rows:
                     root = spanning_forest(len(parts), number[: len(i)], number[len(i) :], parts)
                     yield pd.DataFrame({"a": parts, "b": parts[root]})
 
-    # A row holds two tiles of sets, so a batch may hold only a few rows.
     work = side(asked, "x").join(side(members, "y"), "centre").where(F.abs(F.col("x_step") - F.col("y_step")) <= near)
-    with arrow_batch(asked.sparkSession, 8):
-        return stage(work.mapInPandas(compare, "a long, b long").where("a != b"), "mh-block-links")
+    return stage(work.mapInPandas(compare, "a long, b long").where("a != b"), "mh-block-links")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, group_grams: int = 1 << 18, tile_rows: int = 128) -> DataFrame:
@@ -277,6 +279,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     signed = stage(signatures(base, width), "mh-signed")
     classes = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    # Written first, so that the joins below are free to split a digest with very many copies.
+    classes = stage(classes, "mh-classes")
     named = stage(signed.select("doc_id", "digest").join(classes.select("digest", "rep"), "digest"), "mh-members")
     # A representative's own row (one of them, if its id is repeated) carries the class's signature.
     reps = signed.withColumnRenamed("doc_id", "rep").join(classes, ["digest", "rep"]).dropDuplicates(["digest", "rep"])
