@@ -32,7 +32,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stage, text_or_empty
+from .common import discard, shared_dir, stage, text_or_empty
 
 LENGTH, GRAM = 400, 200
 BASE = 0x9E3779B97F4A7C15
@@ -118,11 +118,12 @@ class SuffixSort:
         if known == 16:
             halves = np.ascontiguousarray(head).view(">u8").astype(np.uint64)
             order = np.lexsort((halves[:, 1], halves[:, 0]))
-            new = (np.diff(halves[order], axis=0, prepend=0) != 0).any(axis=1)
+            sorted_heads = halves[order]
         else:
             order = np.lexsort(head.T[::-1])
-            new = (np.diff(head[order].astype(np.int16), axis=0, prepend=-1) != 0).any(axis=1)
-        new[:1] = True
+            sorted_heads = head[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (sorted_heads[1:] != sorted_heads[:-1]).any(axis=1)
         starts, run = starts[order], np.cumsum(new) - 1
         size = np.bincount(run)
         kept = size[run] > 1
@@ -222,7 +223,7 @@ def _split(rows: DataFrame, length: int, block: int) -> DataFrame:
                     distance = r.near - at
                     bottom = distance // block * block
                     n = min(windows - at, distance - bottom + 1)
-                    core = r.body[r.near - bottom : r.near - bottom - block + 1 + length]
+                    core = r.body[r.near - bottom : max(r.near - bottom - block + 1 + length, 0)]
                     out.append((r.key, r.digest, r.first + at, distance, r.body[at : at + n - 1 + length], core))
                     at += n
             yield pd.DataFrame(out, columns=["key", "digest", "first", "near", "body", "core"])
@@ -238,7 +239,8 @@ def _sort_groups(rows: DataFrame, length: int, group_rows: int) -> DataFrame:
     """
     found = None
     for block in (50, 10, 1):
-        sizes = rows.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1")
+        # Written first, so that the join is free to split a large group.
+        sizes = stage(rows.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1"), "sfx-sizes")
         sized = stage(rows.join(sizes, "grp"), "sfx-groups")
         small = sized.where(F.col("n") <= group_rows)
         total = small.count()
@@ -354,6 +356,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     done = texts.join(removed, ["doc_id", "h"], "left").select("doc_id", "body", "cuts")
     out = stage(done.mapInPandas(_batched(finish), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string"), "sfx-out")
     spark.sql(f"DROP TABLE IF EXISTS {name}")
+    discard(spark, os.path.join(shared_dir(spark), name))
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
