@@ -35,12 +35,12 @@ def shared_dir(spark: SparkSession) -> str:
     return ctx._jsc.sc().getCheckpointDir().get()
 
 
-BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Send some megabytes at a time to Python, whatever the length of the rows, unless the session has a bound already."""
-    if int(spark.conf.get(BATCH_KEY)) >= (1 << 31) - 1:
+    """Send some megabytes at a time to Python, whatever the length of the rows, unless the session sets a bound itself."""
+    if spark.conf.get(BATCH_KEY, BATCH_DEFAULT) == BATCH_DEFAULT:
         spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
 
 
