@@ -138,3 +138,18 @@ def near_duplicates(
     own = base.select("vec_id").join(members, F.col("vec_id") == F.col("id"), "left")
     component = F.coalesce("component", "vec_id")
     return own.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.cast("long").alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
+
+
+def oracle(threshold: float = 0.98) -> str:
+    """The same in DuckDB SQL: all pairs of a label, and the least id reachable."""
+    square = "list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))"
+    dot = "list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE)))"
+    return f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding, sqrt({square}) AS norm FROM embeddings
+    WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x != 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id != b.vec_id AND len(a.embedding) = len(b.embedding)
+    WHERE {dot} / (a.norm * b.norm) >= {threshold}),
+reach AS (SELECT vec_id, vec_id AS root FROM embeddings UNION SELECT links.a, root FROM reach JOIN links ON links.b = reach.vec_id),
+least AS (SELECT vec_id, min(root) AS component_id FROM reach GROUP BY 1),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, component_id = vec_id AS kept FROM least LEFT JOIN counted ON a = vec_id"""

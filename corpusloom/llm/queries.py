@@ -55,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filter": url_filter.oracle()}
+    return {"op8_embedding_dedup": embedding_dedup.oracle(), "op10_url_filter": url_filter.oracle()}
