@@ -133,11 +133,19 @@ def mix(
 
     # One group per source holds a row per distinct size only.
     cells = rated.select("sid", "size", "n", "rate").groupBy("sid").applyInPandas(round_cells, "sid int, size long, n long, rate double, cell_copies long")
-    parts = F.ceil(F.col("n") / cell_rows).cast("int")
-    rows = tagged.join(cells, ["sid", "size"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), parts))
+    # Cells above a ten-thousandth of all rows, of which there are fewer than that, are dealt out in parts before the join.
+    total = hist.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    hot = F.broadcast(hist.where(F.col("n") > max(cell_rows, total // 10_000)).select("sid", "size", F.ceil(F.col("n") / cell_rows).cast("int").alias("parts")))
+    placed = tagged.join(hot, ["sid", "size"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")), F.lit(0)).cast("int"))
+    counts = placed.where("parts is not null").groupBy("sid", "size", "part").agg(F.count("*").alias("m"))
+    upto = F.sum("m").over(Window.partitionBy("sid", "size").orderBy("part"))
+    shares = counts.withColumn("upto", upto)
+    dealt = cells.join(shares, ["sid", "size"], "left").withColumn("part", F.coalesce("part", F.lit(0)))
+    rows = placed.drop("parts").join(dealt, ["sid", "size", "part"])
     cell = Window.partitionBy("sid", "size", "part")
-    shift = F.when(parts == 1, 0.0).otherwise(F.pmod(F.xxhash64("sid", "size", "part"), F.lit(1 << 20)) / float(1 << 20))
-    extra = F.floor((F.col("cell_copies") % F.col("n")) * F.count("*").over(cell) / F.col("n") + shift + 1e-9)
+    # The cell's odd copies, dealt to its parts in proportion to their rows without a remainder.
+    odd, upto = F.col("cell_copies") % F.col("n"), F.coalesce("upto", "n")
+    extra = F.floor(odd * upto / F.col("n")) - F.floor(odd * (upto - F.coalesce("m", "n")) / F.col("n"))
     copies = F.floor(F.col("cell_copies") / F.col("n")) + (F.row_number().over(cell.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id")) <= extra).cast("long")
     return rows.select("doc_id", "size", "source_size", "target", F.least(copies, F.lit(top)).alias("copies"), "rate").select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate"
