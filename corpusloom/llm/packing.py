@@ -44,12 +44,18 @@ def encoder(path: str) -> Callable[[Sequence[str]], list[list[int]]]:
     A plain byte-level BPE file, whose ids are its merge ranks, is run by a faster implementation of the same
     merges; texts that hold one of its special strings, and all other files, go to the tokenizers library.
     """
-    from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(path)
+    @lru_cache(maxsize=1)
+    def library():
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(path)
+
+    def whole(texts: Sequence[str]) -> list[list[int]]:
+        return [e.ids for e in library().encode_batch(list(texts), add_special_tokens=False)]
+
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    whole = lambda texts: [e.ids for e in slow.encode_batch(list(texts), add_special_tokens=False)]
     fast = _ranked(spec)
     if fast is None:
         return whole
@@ -192,7 +198,7 @@ def pack(
     attention: int | None = None,
     weights: tuple[float, float, float] = (1.0, 0.25, 0.25),
     score: str = "norm",
-    part_rows: int = 4096,
+    part_rows: int = 512,
     **options,
 ) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset``, one row per piece.
