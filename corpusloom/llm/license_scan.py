@@ -3,8 +3,8 @@
 Texts and templates are sequences of words (runs of letters, digits and non-ASCII bytes, A-Z lower-cased).  Hashes of
 ``gram`` words are winnowed: of every ``window`` neighbouring hashes the least is a fingerprint, so a run of
 gram + window - 1 equal words always shares one with its template.  Fingerprints found in the index name a template and
-the place where it would begin; around each such place the template is aligned with the text in a band of
-insertions and deletions, and matches that cover enough of the template are reported with their span.
+the place where it would begin; around each such place, unless the words that both have are too few for any match, the
+template is aligned with the text in a band of insertions and deletions, and matches that cover enough of the template are reported with their span.
 
 Edge cases: null and empty texts have no matches; every row is judged by itself, so repeated rows repeat their
 result; an empty table gives an empty result; other columns are ignored.  Positions count code points.
@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from importlib import resources
+from statistics import mode
 
 import numpy as np
 import pandas as pd
@@ -23,35 +25,90 @@ from pyspark.sql import functions as F
 from .common import text_or_empty
 from .suffix_dedup import PolynomialHash, _mix
 
-# License notices as they are published.
-TEMPLATES: Mapping[str, str] = {
+# One-line statements, notices, grants (the first part of a text that is often copied alone) and whole texts.
+LINES: Mapping[str, str] = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
+    "MIT": "Released under the MIT License.",
+    "BSD": "Released under the BSD License.",
+    "ISC-line": "Released under the ISC License.",
+    "MPL-1.1": "The contents of this file are subject to the Mozilla Public License Version 1.1.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+}
+NOTICES: Mapping[str, str] = {
     "Apache-2.0-header": (
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in "
         'writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either '
         "express or implied. See the License for the specific language governing permissions and limitations under the License."
     ),
-    "MIT": "Released under the MIT License.",
-    "MIT-text": (
+    "MPL-2.0-notice": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
+        "file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    ),
+    "MIT-grant": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
         '"Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, '
         "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
     ),
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-notice": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
-        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
-    ),
-    "BSD-3-Clause": (
+    "BSD-grant": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
     ),
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-text": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
 }
+#: Names, versions and the word for the work of the GNU licenses.
+GNU = (
+    ("GPL-1.0", "General", "1", "program"), ("GPL-2.0", "General", "2", "program"), ("GPL-3.0", "General", "3", "program"),
+    ("LGPL-2.0", "Library General", "2", "library"), ("LGPL-2.1", "Lesser General", "2.1", "library"), ("LGPL-3.0", "Lesser General", "3", "library"),
+    ("AGPL-3.0", "Affero General", "3", "program"),
+)
+CC_KINDS = {
+    "BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC": "Attribution-NonCommercial",
+    "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}
+CC_VERSIONS = {"1.0": "Generic", "2.0": "Generic", "2.5": "Generic", "3.0": "Unported", "4.0": "International"}
+
+
+def _gnu_notices() -> dict[str, str]:
+    """Per license: the one-line statement, the notice's first paragraph with and without later versions, the whole notice."""
+    out = {}
+    for name, kind, version, work in GNU:
+        title = f"GNU {kind} Public License"
+        grant = f"This {work} is free software: you can redistribute it and/or modify it under the terms of the {title} as published by the Free Software Foundation"
+        later = f"{grant}, either version {version} of the License, or (at your option) any later version."
+        got = f"You should have received a copy of the {title} along with this {work}"
+        if version.startswith("3"):
+            got += ". If not, see <https://www.gnu.org/licenses/>."
+        else:
+            got += "; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."
+        warranty = (
+            f"This {work} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+            f"MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {title} for more details."
+        )
+        out[name] = f"This work is licensed under the {title}, version {version}."
+        out[f"{name}-notice"] = later
+        out[f"{name}-only-notice"] = f"{grant}, version {version} of the License."
+        out[f"{name}-whole-notice"] = f"{later} {warranty} {got}"
+    return out
+
+
+def _cc_notices() -> dict[str, str]:
+    out = {}
+    for kind, title in CC_KINDS.items():
+        for version, realm in CC_VERSIONS.items():
+            out[f"CC-{kind}-{version}"] = f"Licensed under CC {kind} {version}."
+            out[f"CC-{kind}-{version}-notice"] = f"This work is licensed under a Creative Commons {title} {version} {realm} License."
+    return out
+
+
+def _whole_texts(taken: Mapping[str, str]) -> dict[str, str]:
+    """The files of ``license_texts``; a name that a statement has already gets ``-text``."""
+    files = sorted((f for f in resources.files(__package__).joinpath("license_texts").iterdir() if f.name.endswith(".txt")), key=lambda f: f.name)
+    texts = {f.name.removesuffix(".txt"): " ".join(f.read_text(encoding="utf-8").split()).rstrip(".") for f in files}
+    return {f"{name}-text" if name in taken else name: text for name, text in texts.items()}
+
+
+_SHORT = {**LINES, **NOTICES, **_gnu_notices(), **_cc_notices()}
+TEMPLATES: Mapping[str, str] = {**_SHORT, **_whole_texts(_SHORT)}
 
 
 @dataclass
@@ -103,9 +160,25 @@ class TemplateIndex:
         self.hash = np.array([f[0] for f in found], np.uint64)
         self.template = np.array([f[1] for f in found], np.int64)
         self.place = np.array([f[2] for f in found], np.int64)
+        self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *[w.hash for w in self.words]]))
+        self.counts = [self.count(self.known(w.hash)) for w in self.words]
 
-    def begins(self, words: Words) -> list[tuple[int, int, int]]:
-        """(template, least and greatest word number where it would begin), from fingerprints in the index."""
+    def known(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each word in the vocabulary of all templates; one more than the last for other words."""
+        at = np.searchsorted(self.vocabulary, hashes)
+        inside = at < len(self.vocabulary)
+        inside[inside] = self.vocabulary[at[inside]] == hashes[inside]
+        return np.where(inside, at, len(self.vocabulary))
+
+    def count(self, known: np.ndarray) -> np.ndarray:
+        return np.bincount(known, minlength=len(self.vocabulary) + 1)[: len(self.vocabulary)]
+
+    def most(self, template: int, known: np.ndarray) -> int:
+        """No alignment of the template with these words matches more: the words that both have, each as often as in both."""
+        return int(np.minimum(self.counts[template], self.count(known)).sum())
+
+    def begins(self, words: Words) -> list[tuple[int, int, int, int]]:
+        """(template, least, greatest and most frequent word number where it would begin), from fingerprints in the index."""
         hashes, at = words.fingerprints(self.gram, self.window)
         low, high = np.searchsorted(self.hash, hashes, "left"), np.searchsorted(self.hash, hashes, "right")
         begins: dict[int, list[int]] = {}
@@ -116,13 +189,13 @@ class TemplateIndex:
         for t, found in begins.items():
             found.sort()
             band = self.band(t)
-            first = last = found[0]
+            group = found[:1]
             for b in found[1:]:
-                if b - first > band:
-                    out.append((t, first, last))
-                    first = b
-                last = b
-            out.append((t, first, last))
+                if b - group[0] > band:
+                    out.append((t, group[0], group[-1], mode(group)))
+                    group = []
+                group.append(b)
+            out.append((t, group[0], group[-1], mode(group)))
         return out
 
     def band(self, template: int) -> int:
@@ -137,28 +210,23 @@ def align(template: np.ndarray, text: np.ndarray, band: int) -> list[tuple[int,
     m, n = len(template), len(text)
     low, high = -band, n - m + band
     width = high - low + 1
-    if width <= 0:
+    if width <= 0 or not n:
         return []
-    big = m + n + 1
-    cost = np.full((m + 1, width), big)
+    big = 1 << 29
+    steps = np.arange(width)
+    cost = np.where((steps + low >= 0) & (steps + low <= n), 0, big)  # the text before the match is free
     move = np.zeros((m + 1, width), np.int8)
-    for d in range(width):  # the text before the match is free
-        if 0 <= d + low <= n:
-            cost[0, d] = 0
     for i in range(1, m + 1):
-        for d in range(width):
-            j = i + d + low
-            if not 0 <= j <= n:
-                continue
-            best, how = big, 0
-            if j >= 1 and cost[i - 1, d] < big:
-                best, how = cost[i - 1, d] + (template[i - 1] != text[j - 1]), 1
-            if d + 1 < width and cost[i - 1, d + 1] + 1 < best:
-                best, how = cost[i - 1, d + 1] + 1, 2
-            if d > 0 and j >= 1 and cost[i, d - 1] + 1 < best:
-                best, how = cost[i, d - 1] + 1, 3
-            cost[i, d], move[i, d] = best, how
-    d, i, pairs = int(np.argmin(cost[m])), m, []
+        j = steps + (i + low)
+        fits = (j >= 0) & (j <= n)
+        here = np.where(j >= 1, cost + (template[i - 1] != text[np.clip(j - 1, 0, n - 1)]), big)
+        above = np.append(cost[1:], big) + 1
+        how = np.where(above < here, 2, 1)
+        here = np.where(fits, np.minimum(here, above), big)
+        run = np.minimum.accumulate(here - steps) + steps  # text words without a partner, one after another
+        move[i] = np.where(fits & (run < big), np.where(run < here, 3, how), 0)
+        cost = np.where(fits, run, big)
+    d, i, pairs = int(np.argmin(cost)), m, []
     while i > 0 and move[i, d]:
         j = i + d + low
         how = move[i, d]
@@ -178,13 +246,32 @@ def find_licenses(text: str, index: TemplateIndex, min_coverage: float) -> list[
     covers its template best stays (then the one with more matched words, then the first name), so that a variant's
     notice is not reported as its siblings too."""
     words = Words.of(text)
+    begins = index.begins(words)
+    known = index.known(words.hash) if begins else None
     finds: list[tuple[float, int, str, int, int]] = []
-    for t, first, last in index.begins(words):
+    whole: dict[int, list[tuple[int, int]]] = {}  # word ranges of word-for-word copies
+
+    def add(t: int, matched: int, first: int, last: int) -> None:
+        finds.append((-matched / len(index.words[t].hash), -matched, index.names[t], int(words.begin[first]), int(words.end[last])))
+
+    for t, _, _, at in begins:
+        m = len(index.words[t].hash)
+        if at >= 0 and np.array_equal(words.hash[at : at + m], index.words[t].hash):
+            whole.setdefault(t, []).append((at, at + m))
+            add(t, m, at, at + m - 1)
+    for t, first, last, _ in begins:
         template, band = index.words[t].hash, index.band(t)
         a, b = max(0, first - band), min(len(words.hash), last + len(template) + band)
+        # What overlaps a word-for-word copy of the same template is no better; is there room for another beside it?
+        taken = [c for c in whole.get(t, ()) if c[0] < b and a < c[1]]
+        edges = [a, *[e for c in sorted(taken) for e in c], b]
+        if taken and max(y - x for x, y in zip(edges[::2], edges[1::2], strict=True)) < min_coverage * len(template):
+            continue
+        if index.most(t, known[a:b]) < min_coverage * len(template):
+            continue
         pairs = align(template, words.hash[a:b], band + last - first)
         if len(pairs) >= min_coverage * len(template):
-            finds.append((-len(pairs) / len(template), -len(pairs), index.names[t], int(words.begin[a + pairs[0][1]]), int(words.end[a + pairs[-1][1]])))
+            add(t, len(pairs), a + pairs[0][1], a + pairs[-1][1])
     kept: list[tuple[str, int, int, float]] = []
     for share, _, name, begin, end in sorted(finds):
         if all(end <= b or e <= begin for _, b, e, _ in kept):

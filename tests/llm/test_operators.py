@@ -353,6 +353,39 @@ def test_licenses_on_tables(spark):
         assert got[i] >= {n for n, line in lines.items() if line in text}
 
 
+LICENSE_FILES = ("Apache-2.0-text", "GPL-2.0-text", "GPL-3.0-text", "AGPL-3.0-text", "LGPL-2.1-text", "MPL-2.0-text", "CC0-1.0-text", "BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "MIT-text", "MIT-0", "Unlicense", "BSL-1.0")
+
+
+def test_siblings_are_told_apart():
+    """Every template is found as itself, whole, and not as one that differs from it in a few words."""
+    index = license_scan.TemplateIndex(license_scan.TEMPLATES, 3, 2)
+    assert set(LICENSE_FILES) <= set(license_scan.TEMPLATES) and {"GPL-2.0-notice", "LGPL-2.1-notice", "AGPL-3.0-notice", "CC-BY-3.0"} <= set(license_scan.TEMPLATES)
+    for name, text in license_scan.TEMPLATES.items():
+        if len(text) < 9000:
+            assert [(f[0], f[3]) for f in license_scan.find_licenses(f"some words {text} and others", index, 0.8)] == [(name, 1.0)]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_alignment_has_least_edits(seed):
+    rng = np.random.default_rng(seed)
+    for _ in range(60):
+        template, text = rng.integers(0, 6, rng.integers(1, 20)), rng.integers(0, 6, rng.integers(0, 25))
+        row = [0] * (len(text) + 1)  # edits of the template so far against text that ends here
+        for word in template:
+            row = _next_row(row, word, text)
+        pairs = license_scan.align(template, text, 40)
+        assert all(template[i] == text[j] for i, j in pairs) and pairs == sorted(pairs) and len({j for _, j in pairs}) == len(pairs)
+        if pairs:
+            assert len(template) - len(pairs) <= min(row)
+
+
+def _next_row(row, word, text):
+    out = [row[0] + 1]
+    for j, other in enumerate(text):
+        out.append(min(row[j] + (word != other), row[j + 1] + 1, out[j] + 1))
+    return out
+
+
 def test_every_long_enough_run_is_found():
     index = license_scan.TemplateIndex({"t": " ".join(f"w{k}" for k in range(40))}, 3, 2)
     for at in range(36):
