@@ -242,17 +242,18 @@ def align(template: np.ndarray, text: np.ndarray, band: int) -> list[tuple[int,
 
 
 def find_licenses(text: str, index: TemplateIndex, min_coverage: float) -> list[tuple[str, int, int, float]]:
-    """(template, start, end, matched share of the template's words), by start.  Of overlapping finds the one that
-    covers its template best stays (then the one with more matched words, then the first name), so that a variant's
-    notice is not reported as its siblings too."""
+    """(template, start, end, matched share of the template's words), by start.  Of overlapping finds the one with most
+    matched words, less those of its template that are missing, stays (then the better share, then the first name): an
+    edited notice goes before a line inside it, and a variant is not reported as its siblings too."""
     words = Words.of(text)
     begins = index.begins(words)
     known = index.known(words.hash) if begins else None
-    finds: list[tuple[float, int, str, int, int]] = []
+    finds: list[tuple[int, float, str, int, int]] = []
     whole: dict[int, list[tuple[int, int]]] = {}  # word ranges of word-for-word copies
 
     def add(t: int, matched: int, first: int, last: int) -> None:
-        finds.append((-matched / len(index.words[t].hash), -matched, index.names[t], int(words.begin[first]), int(words.end[last])))
+        m = len(index.words[t].hash)
+        finds.append((m - 2 * matched, -matched / m, index.names[t], int(words.begin[first]), int(words.end[last])))
 
     for t, _, _, at in begins:
         m = len(index.words[t].hash)
@@ -273,7 +274,7 @@ def find_licenses(text: str, index: TemplateIndex, min_coverage: float) -> list[
         if len(pairs) >= min_coverage * len(template):
             add(t, len(pairs), a + pairs[0][1], a + pairs[-1][1])
     kept: list[tuple[str, int, int, float]] = []
-    for share, _, name, begin, end in sorted(finds):
+    for _, share, name, begin, end in sorted(finds):
         if all(end <= b or e <= begin for _, b, e, _ in kept):
             kept.append((name, begin, end, -share))
     chars = lambda at: len(words.raw[:at].decode("utf-8", "surrogatepass"))

@@ -365,6 +365,23 @@ def test_siblings_are_told_apart():
             assert [(f[0], f[3]) for f in license_scan.find_licenses(f"some words {text} and others", index, 0.8)] == [(name, 1.0)]
 
 
+def test_edited_notices_keep_their_name():
+    """An edited notice or text goes before an unedited line or notice inside it; an edited variant before its siblings."""
+    index, known = license_scan.TemplateIndex(license_scan.TEMPLATES, 3, 2), license_scan.TEMPLATES
+    header = known["Apache-2.0-header"].replace("http://", "https://")
+    for text in (header, header.replace("http", "see http"), header.replace("software distributed", "the software that is distributed")):
+        ((name, begin, end, cover),) = license_scan.find_licenses(f"x {text} y", index, 0.8)
+        assert name == "Apache-2.0-header" and f"x {text} y"[begin:end] == text.rstrip(".") and 0.9 < cover < 1
+    edits = {
+        "Apache-2.0-text": ("perpetual, worldwide", "perpetual and worldwide"), "BSD-3-Clause": ("COPYRIGHT HOLDERS AND", "REGENTS AND"), "BSD-2-Clause": ("COPYRIGHT HOLDERS AND", "REGENTS AND"),
+        "GPL-2.0-notice": ("This program", "Foo"), "GPL-3.0-whole-notice": ("this program", "Foo"), "MIT-0": ("any person", "all"), "0BSD": ("and/or", "and"), "ISC": ("and/or", "and"),
+    }
+    for name, (old, new) in edits.items():
+        assert old in known[name] and [f[0] for f in license_scan.find_licenses(known[name].replace(old, new), index, 0.8)] == [name]
+    both = license_scan.find_licenses(f"{header} {known['MIT']}", index, 0.8)
+    assert [f[0] for f in both] == ["Apache-2.0-header", "MIT"]
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_alignment_has_least_edits(seed):
     rng = np.random.default_rng(seed)
