@@ -1,5 +1,9 @@
 """Secret scan: fixed patterns plus sliding-window entropy, all in DataFrame functions.
 
+Entropy is measured in windows over what is left of a long run outside the patterns' spans and outside what is allowed.
+An allowed pattern that is a part of a run (``example``) clears the path segment around it, up to the next slashes; one
+that is bound to both ends clears the whole.  What is left shorter than a window is not measured.
+
 Edge cases: a null or empty text has no spans (``base_sha256`` is the hash of an empty string).
 Rows are judged one by one, so ties and repeated rows repeat their result; other input columns
 are ignored.  Positions count code points, ends are exclusive.
@@ -22,7 +26,7 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
-#: Candidates that look random to the measure but are known to be harmless.
+#: What looks random to the measure but is known to be harmless.
 ALLOW = (
     r"^[A-Za-z]+$",
     r"^[0-9]+$",
@@ -92,6 +96,24 @@ def _window_hits(candidate: Column, window: int, hex_bits: float, mixed_bits: fl
     return F.aggregate(F.transform(codes, item), zero, put, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
 
 
+def _outside(x: Column, blocks: Column, window: int) -> Column:
+    """What is left of span x outside of sorted blocks, in pieces of a window at least: array<struct<s, k, e, m, cut>>."""
+    start = F.struct(x["s"].alias("at"), F.expr("cast(array() as array<struct<s:int,k:int,e:int,m:string,cut:boolean>>)").alias("out"))
+
+    def piece(begin: Column, end: Column, cut: Column) -> Column:
+        body = F.substring(x["m"], begin - x["s"] + 1, F.greatest(end - begin, F.lit(0)))
+        return F.struct(begin.alias("s"), x["k"].alias("k"), end.alias("e"), body.alias("m"), cut.alias("cut"))
+
+    def put(state: Column, end: Column, cut: Column) -> Column:
+        grown = F.concat(state["out"], F.array(piece(state["at"], end, cut)))
+        return F.when(end - state["at"] >= window, grown).otherwise(state["out"])
+
+    def step(state: Column, b: Column) -> Column:
+        return F.struct(F.greatest(state["at"], b["e"]).alias("at"), put(state, b["s"], F.lit(True)).alias("out"))
+
+    return F.aggregate(blocks, start, step, lambda state: put(state, x["e"], F.size(blocks) > 0))
+
+
 def scan_secrets(
     docs: DataFrame,
     *,
@@ -109,7 +131,10 @@ def scan_secrets(
     assign = _spans(text, text.rlike(ASSIGN_GUARD), ASSIGN, 0)
     value = lambda x: F.regexp_extract(x["m"], ASSIGN, 2)
     cand = _spans(text, text.rlike(CANDIDATE), CANDIDATE, 3)
-    wanted = lambda x: ~F.reduce(F.array(*[F.lit(p) for p in allow]), F.lit(False), lambda a, p: a | F.regexp_like(x["m"], p)) if allow else F.lit(True)
+    likes = lambda m: F.reduce(F.array(*[F.lit(p) for p in allow]), F.lit(False), lambda a, p: a | F.regexp_like(m, p)) if allow else F.lit(False)
+    segments = r"(?<![^/])[^/]*(?:%s)[^/]*" % "|".join(f"(?:{p})" for p in allow)
+    ends = F.lit("=_+/-")
+    trimmed = lambda x: F.when(x["cut"], F.trim(x["m"], ends)).otherwise(x["m"])
     first = base.select(
         "doc_id", "text",
         F.concat(
@@ -117,7 +142,7 @@ def scan_secrets(
             _spans(text, F.contains(text, F.lit("AKIA")), ACCESS, 1),
             _spans(text, text.rlike(HEX), HEX, 2),
         ).alias("base"),
-        F.filter(cand, wanted).alias("cand"),
+        cand.alias("cand"),
     )
 
     def entropy(x: Column) -> Column:
@@ -128,10 +153,21 @@ def scan_secrets(
         begin, end = x["s"] + x["w"]["first"], x["s"] + x["w"]["last"] + window
         return F.struct(begin.alias("s"), x["k"].alias("k"), end.alias("e"), F.substring(x["m"], x["w"]["first"] + 1, end - begin).alias("m"))
 
-    fresh = F.filter("cand", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    added = F.when(F.size("cand") > 0, F.transform(F.filter(F.transform(fresh, entropy), lambda x: x["w"]["first"].isNotNull()), cut))
+    def apart(x: Column) -> Column:
+        return _outside(x, F.filter("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])), window)
+
+    def unlike(x: Column) -> Column:
+        lead = F.when(x["cut"], F.length(x["m"]) - F.length(F.ltrim(x["m"], ends))).otherwise(F.lit(0)) + x["s"]
+        moved = lambda b: F.struct((b["s"] + lead).alias("s"), (b["e"] + lead).alias("e"))
+        left = _outside(x, F.transform(_spans(trimmed(x), F.lit(True), segments, 3), moved), window)
+        return F.when(likes(trimmed(x)), F.filter(left, lambda y: ~likes(trimmed(y)))).otherwise(F.array(x))
+
+    first = first.select("doc_id", "text", F.array_sort("base").alias("base"), "cand")
+    parts = first.select("doc_id", "text", "base", F.when(F.size("cand") > 0, F.flatten(F.transform("cand", apart))).alias("cand"))
+    first = parts.select("doc_id", "text", "base", (F.when(F.size("cand") > 0, F.flatten(F.transform("cand", unlike))) if allow else F.col("cand")).alias("cand"))
+    added = F.when(F.size("cand") > 0, F.transform(F.filter(F.transform("cand", entropy), lambda x: x["w"]["first"].isNotNull()), cut))
     none = F.expr("cast(array() as array<struct<s:int,k:int,e:int,m:string>>)")
-    return first.select("doc_id", "text", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", F.coalesce(added, none))).alias("spans"))
+    return first.select("doc_id", "text", "base", F.array_sort(F.concat("base", F.coalesce(added, none))).alias("spans"))
 
 
 def _joined(spans: str) -> Column:
