@@ -159,7 +159,7 @@ def fit(train: DataFrame, *, components: int = 384, bandwidth: float = 4.0, ridg
     parts = train.where(fold != 0).select("x", "y").coalesce(max(1, min(64, facts["n"] // 20_000))).mapInPandas(equations, "row int, sums array<double>")
     summed = {r["row"]: r["sums"] for r in parts.groupBy("row").applyInPandas(add, "row int, sums array<double>").collect()}
     whole = np.array([summed[i] for i in range(size)])
-    penalty = ridge * facts["n"] * np.eye(size)
+    penalty = ridge * whole[0, 0] * np.eye(size)  # by the rows in the equations, so a sample is penalised as a table of its size
     penalty[0, 0] = 0
     model.weights = np.linalg.solve(whole[:, :size] + penalty + 1e-9 * np.eye(size), whole[:, size])
 

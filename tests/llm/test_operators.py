@@ -232,6 +232,21 @@ def test_held_out_labels_are_not_read(spark):
     assert scores(right) == scores(wrong)
 
 
+@pytest.mark.parametrize("max_rows", [1_000_000, 200])
+def test_penalty_follows_the_fitted_rows(spark, monkeypatch, max_rows):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1000, len(quality.STATISTICS)))
+    train = spark.createDataFrame([(i, row.tolist(), int(row[0] > 0)) for i, row in enumerate(x)], "doc_id long, x array<double>, y int")
+    seen, solve = [], np.linalg.solve
+    monkeypatch.setattr(np.linalg, "solve", lambda a, b: seen.append(a) or solve(a, b))
+    for ridge in (0.0, 0.5):
+        quality.fit(train, components=16, ridge=ridge, max_rows=max_rows)
+    plain, ridged = seen
+    rows = round(plain[0, 0])
+    assert rows < 900 if max_rows > 1000 else rows < 250
+    assert np.allclose(np.diag(ridged - plain)[1:], 0.5 * rows) and abs(ridged[0, 0] - plain[0, 0]) < 1e-6
+
+
 def test_isotonic_fit():
     x, y = quality.pool_adjacent_violators(np.arange(5.0), np.array([0.0, 1, 0, 1, 1]), np.ones(5))
     assert list(y) == [0.0, 0.5, 1.0, 1.0] or list(y) == [0.0, 0.5, 1.0]
