@@ -128,9 +128,8 @@ def plan_best_fit(
     """
     tokens, documents, attention = capacity
     need_of = lambda n: (n, 1, n * n)
-    # A capacity that the token capacity implies cannot bind; without it, more bins are in the same state.
-    used = [True, documents < tokens, attention < tokens * tokens]
-    caps = tuple(c if u else 1 for c, u in zip(capacity, used, strict=True))
+    # All three residuals count in the score, also of a capacity that the token capacity implies.
+    caps = tuple(capacity)
     scale = np.array([w / c for w, c in zip(weights, caps, strict=True)])
     states: dict[tuple[int, ...], _Bins] = {}
     keys, table, alive = [], np.zeros((1024, 3)), np.zeros(1024, bool)
@@ -153,8 +152,8 @@ def plan_best_fit(
         alive[slot_of[left]] = True
 
     for length, count in sorted(histogram, reverse=True):
-        need = tuple(n if u else 0 for n, u in zip(need_of(length), used, strict=True))
-        if any(n > c for n, c in zip(need_of(length), capacity, strict=True)):
+        need = need_of(length)
+        if any(n > c for n, c in zip(need, capacity, strict=True)):
             raise ValueError(f"a piece of {length} tokens exceeds an empty sequence's capacity {capacity}")
         rank = 0
         while rank < count:
@@ -170,7 +169,7 @@ def plan_best_fit(
                 alive[slot_of[key]] = False
             else:
                 # Bins that this length alone would fill: the rest of its pieces come back to them.
-                per = min(c // n for c, n in zip(caps, need, strict=True) if n)
+                per = min(c // n for c, n in zip(caps, need, strict=True))
                 fresh = -(-(count - rank) // per)
                 key, bins = caps, _Bins(caps, [[opened, opened + fresh]])
                 opened += fresh

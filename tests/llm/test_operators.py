@@ -361,6 +361,21 @@ def test_plan_respects_every_capacity(capacity, score):
         packing.plan_best_fit([(101, 1)], (100, 100, 20_000))
 
 
+@pytest.mark.parametrize("capacity", [(100, 100, 10_000), (100, 4, 4_000)])
+def test_plan_scores_every_residual(capacity):
+    """Each open bin that is taken leaves the least norm of all three residuals, also where only tokens can bind."""
+    rng = np.random.default_rng(4)
+    histogram = Counter(rng.integers(1, 60, 400).tolist())
+    scale, left = np.array([1.0, 0.25, 0.25]) / capacity, {}
+    for length, a, b, sequence, _ in packing.plan_best_fit(list(histogram.items()), capacity):
+        need = np.array([length, 1, length * length])
+        if sequence in left:
+            norms = [(((r - need) * scale) ** 2).sum() for r in left.values() if (r >= need).all()]
+            assert (((left[sequence] - need) * scale) ** 2).sum() <= min(norms) + 1e-12
+        for k in range(sequence, sequence + b - a):
+            left[k] = left.get(k, np.array(capacity)) - need
+
+
 @needs_tables
 def test_packing_is_tight(spark):
     rows = packing.pack(docs_of(spark)).collect()
