@@ -7,7 +7,10 @@ all who met one centre form a group.  A group of bounded size is settled in one
 centre (the estimate may fall short of the threshold by about five standard deviations), then the full sets; members
 outside the largest component found so far are compared with the whole group, as products of 0/1 matrices.  In larger
 groups the comparisons with the centre are joins, and the rest are pairs of tiles of sets.  Tasks return spanning
-forests, not pairs.  So every pair that shares a bucket is in one component or has been compared on its full sets.
+forests, not pairs.  So every pair that shares a bucket is in one component or has been compared on its full sets, but
+for two screens by signatures: the check against the centre, and ``_worth_comparing``, which drops the lone stray of a
+bucket if its estimate to the centre is below 0.36 (for 0.8).  The second loses a link at 0.8 only if signatures put it
+under 0.70 (about 3.5 standard deviations of 200 minima) in every bucket that the pair shares.
 
 Edge cases: null texts and texts without words have an empty set and link with nothing; fewer words than a shingle
 make one shingle of the whole sequence; repeated rows with one id are one node with the union of the rows' links;
