@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
-from .suffix_dedup import PolynomialHash, _mix
+from .hashing import PolynomialHash, mix
 
 # One-line statements, notices, grants (the first part of a text that is often copied alone) and whole texts.
 LINES: Mapping[str, str] = {
@@ -129,7 +129,7 @@ class Words:
         begin, end = edges[::2], edges[1::2]
         if not len(begin):
             return cls(raw, begin, end, np.zeros(0, np.uint64))
-        return cls(raw, begin, end, _mix(PolynomialHash(data).of(begin, end - begin)))
+        return cls(raw, begin, end, mix(PolynomialHash(data).of(begin, end - begin)))
 
     def fingerprints(self, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
         """(hash, word number) of the winnowed grams; the leftmost of equal least hashes."""
@@ -138,7 +138,7 @@ class Words:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         grams = np.zeros(n, np.uint64)
         for k in range(gram):
-            grams = _mix(grams * np.uint64(0x9E3779B97F4A7C15) + self.hash[k : k + n])
+            grams = mix(grams * np.uint64(0x9E3779B97F4A7C15) + self.hash[k : k + n])
         chosen = np.zeros(n, bool)
         width = min(window, n)
         places = np.lib.stride_tricks.sliding_window_view(grams, width).argmin(axis=1) + np.arange(n - width + 1)

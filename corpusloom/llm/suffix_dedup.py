@@ -7,15 +7,17 @@ be repeated are sorted, and none of those is missed:
 1. Winnowing gives each window of ``length`` bytes the same anchor wherever it occurs (the least hash among its
    ``gram``-byte substrings, leftmost on ties).  Windows that share an anchor form a segment of less than twice
    ``length`` bytes.  Only segments whose anchor hash occurs twice can hold a repeated window.
-2. Equal segments (by a 128-bit digest) are one class; a class of two or more is repeated throughout.
-3. Where an anchor has several classes, one segment of each is fetched, and all their windows are sorted as suffixes:
-   by the first 16 bytes, then by mergesort, comparing two suffixes through the longest common extension that a binary
-   search over prefix polynomial hashes finds.  Equal neighbours are confirmed byte by byte.
-   An anchor with more than ``group_rows`` classes is split by shorter and shorter blocks of windows (the bytes
-   common to a block's windows are part of its key) down to single windows, which are only counted.
+2. Equal segments (by a 128-bit digest) are one class.  Two segments of each class are fetched (one, if there is only
+   one), from different places; that both are equal is checked on their bytes.
+3. All windows of an anchor's segments are sorted as suffixes: by the first 16 bytes, then by mergesort, comparing two
+   suffixes through the longest common extension that a binary search over prefix polynomial hashes finds.  Equal
+   neighbours are confirmed byte by byte.  An anchor with more than ``group_rows`` segments, which would not fit a
+   task, is split by shorter and shorter blocks of windows (the bytes common to a block's windows are part of its key)
+   down to single windows, which are grouped by their bytes.
 
 Edge cases: null texts count as empty and, like texts shorter than ``length``, lose nothing; repeated rows count as
-separate places; an empty table gives an empty result; other columns are ignored.
+separate places, also with null ids; ids of any type are handed through; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,36 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, shared_dir, stage, text_or_empty
+from .hashing import PolynomialHash, mix
 
 LENGTH, GRAM = 400, 200
-BASE = 0x9E3779B97F4A7C15
 BLOCK = 1 << 20
-NO_ID = -(1 << 63) + 1  # stands for a null id in joins
-
-
-class PolynomialHash:
-    """Hashes modulo 2**64 of substrings, from prefix sums of byte * BASE**position."""
-
-    up = np.ones(1, np.uint64)
-    down = np.ones(1, np.uint64)
-
-    def __init__(self, data: np.ndarray):
-        n = len(data)
-        if len(self.up) <= n:
-            for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-                steps = np.full(n + n // 4 + 64, base, np.uint64)
-                steps[0] = 1
-                setattr(PolynomialHash, name, np.multiply.accumulate(steps))
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[:n], out=self.sums[1:])
-
-    def of(self, start: np.ndarray, length: int | np.ndarray) -> np.ndarray:
-        return (self.sums[start + length] - self.sums[start]) * self.down[start]
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
+BUCKET_BYTES = 128 << 20
 
 
 def segments(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -70,7 +47,7 @@ def segments(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[
     parts = []
     for at in range(0, max(len(data) - length + 1, 0), BLOCK):
         block = data[at : at + BLOCK + length - 1]
-        h = _mix(PolynomialHash(block).of(np.arange(len(block) - gram + 1), gram))
+        h = mix(PolynomialHash(block).of(np.arange(len(block) - gram + 1), gram))
         low = np.uint64((1 << 24) - 1)
         key = (h & ~low) | np.arange(len(h), dtype=np.uint64)
         width, windows = length - gram + 1, len(block) - length + 1
@@ -106,7 +83,9 @@ class SuffixSort:
 
     def before(self, i: np.ndarray, j: np.ndarray, known: int) -> np.ndarray:
         """-1, 0 or 1: how the suffix at i compares to the one at j."""
-        n = self.common(i, j, known)
+        n = np.full(len(i), self.length)
+        unlike = np.flatnonzero(self.hashes.of(i, self.length) != self.hashes.of(j, self.length))
+        n[unlike] = self.common(i[unlike], j[unlike], known)
         at = np.minimum(n, self.length - 1)
         order = np.sign(self.data[i + at].astype(np.int16) - self.data[j + at].astype(np.int16))
         return np.where(n == self.length, 0, order)
@@ -199,14 +178,14 @@ def _ranges(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _bucketed(docs: DataFrame, id_col: str, text_col: str):
-    """The texts as a table in the shared folder, bucketed by row key: later joins on it move no text."""
+    """The texts, with a number for each row, as a table in the shared folder, bucketed by that number: later joins on
+    it move no text.  Buckets follow the data's size, so none outgrows a task."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), text_or_empty(text_col).cast("binary").alias("body"))
+    size = docs.agg(F.sum(F.octet_length(text_or_empty(text_col)))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     name = f"suffix_dedup_{uuid.uuid4().hex}"
-    body = text_or_empty(text_col).cast("binary")
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("h"), body.alias("body"))
-    keyed = keyed.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    keyed.repartition(parts, "doc_id", "h").write.bucketBy(parts, "doc_id", "h").option("path", os.path.join(shared_dir(spark), name)).saveAsTable(name)
+    keyed.repartition(parts, "row").write.bucketBy(parts, "row").option("path", os.path.join(shared_dir(spark), name)).saveAsTable(name)
     return spark.table(name), name
 
 
@@ -224,116 +203,107 @@ def _split(rows: DataFrame, length: int, block: int) -> DataFrame:
                     bottom = distance // block * block
                     n = min(windows - at, distance - bottom + 1)
                     core = r.body[r.near - bottom : max(r.near - bottom - block + 1 + length, 0)]
-                    out.append((r.key, r.digest, r.first + at, distance, r.body[at : at + n - 1 + length], core))
+                    out.append((r.key, r.digest, r.copy, r.first + at, distance, r.body[at : at + n - 1 + length], core))
                     at += n
-            yield pd.DataFrame(out, columns=["key", "digest", "first", "near", "body", "core"])
+            yield pd.DataFrame(out, columns=["key", "digest", "copy", "first", "near", "body", "core"])
 
-    return rows.mapInPandas(cut, "key long, digest binary, first int, near int, body binary, core binary")
+    return rows.mapInPandas(cut, "key long, digest binary, copy int, first int, near int, body binary, core binary")
 
 
 def _sort_groups(rows: DataFrame, length: int, group_rows: int) -> DataFrame:
     """``key, digest, lo, hi``: ranges of repeated windows of each class's segment.
 
-    ``rows``: key, digest, grp, first (number of the body's first window in the segment), near (its distance to the
-    anchor), body.
+    ``rows``: key, digest, copy (0, and 1 for the second place of a class), grp, first (number of the body's first window
+    in the segment), near (its distance to the anchor), body.
     """
     found = None
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for block in (50, 10, 1):
-        # Written first, so that the join is free to split a large group.
-        sizes = stage(rows.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1"), "sfx-sizes")
-        sized = stage(rows.join(sizes, "grp"), "sfx-groups")
-        small = sized.where(F.col("n") <= group_rows)
-        total = small.count()
+        large = stage(rows.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > group_rows).select("grp"), "sfx-large")
         # Each bucket holds whole groups, about 2000 rows of less than 2 * length bytes.
-        buckets = max(1, -(-total // 2000))
+        buckets = max(1, -(-rows.count() // 2000))
 
         def settle(group: pd.DataFrame) -> pd.DataFrame:
-            out = []
+            out, seen = [], {}
             for r, flags in zip(group.itertuples(), repeated_windows(group["body"].tolist(), length), strict=True):
-                out += [(r.key, r.digest, r.first + a, r.first + b) for a, b in _ranges(flags)]
+                if seen.setdefault((r.key, r.digest, r.first), r.body) != r.body:
+                    raise ValueError("two segments of one 128-bit digest differ")
+                if r.copy == 0:
+                    out += [(r.key, r.digest, r.first + a, r.first + b) for a, b in _ranges(flags)]
             return pd.DataFrame(out, columns=["key", "digest", "lo", "hi"])
 
-        work = small.select("key", "digest", "first", "body", F.pmod(F.xxhash64("grp"), F.lit(buckets)).alias("bucket"))
-        part = work.groupBy("bucket").applyInPandas(settle, "key long, digest binary, lo int, hi int")
+        work = rows.join(large, "grp", "left_anti").select("key", "digest", "copy", "first", "body", F.pmod(F.xxhash64("grp"), F.lit(buckets)).alias("bucket"))
+        part = work.repartition(max(tasks, buckets // 4), "bucket").groupBy("bucket").applyInPandas(settle, "key long, digest binary, lo int, hi int")
         part = stage(part, "sfx-found")
         found = part if found is None else found.unionByName(part)
-        large = sized.where(F.col("n") > group_rows)
         if large.isEmpty():
             return found
-        cut = _split(large.select("key", "digest", "first", "near", "body"), length, block)
-        if block == 1:  # single windows: being in a group of two or more is the answer
-            single = stage(cut.select("key", "digest", "first", F.xxhash64("key", "near").alias("g"), F.md5("body").alias("m")), "sfx-single")
-            twice = single.groupBy("g", "m").agg(F.count("*").alias("n")).where("n > 1")
-            return found.unionByName(single.join(twice, ["g", "m"]).select("key", "digest", F.col("first").alias("lo"), (F.col("first") + 1).alias("hi")))
+        cut = _split(rows.join(large, "grp", "left_semi").select("key", "digest", "copy", "first", "near", "body"), length, block)
+        if block == 1:  # single windows: being one of two or more equal ones is the answer
+            single = stage(cut.select("key", "digest", "copy", "first", "body"), "sfx-single")
+            twice = stage(single.groupBy("body").agg(F.count("*").alias("n")).where("n > 1").select("body"), "sfx-twice")
+            hit = single.where("copy = 0").join(twice, "body")
+            return found.unionByName(hit.select("key", "digest", F.col("first").alias("lo"), (F.col("first") + 1).alias("hi")))
         far = F.floor(F.col("near") / block)
-        rows = cut.select("key", "digest", "first", "near", "body", F.md5(F.concat_ws("|", F.col("key").cast("string"), far.cast("string"), F.hex("core"))).alias("grp"))
+        group = F.md5(F.concat_ws("|", F.col("key").cast("string"), far.cast("string"), F.hex("core")))
+        rows = stage(cut.select("key", "digest", "copy", "first", "near", "body", group.alias("grp")), "sfx-blocks")
     raise AssertionError
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int | None = None, group_rows: int = 4096) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` for every row; spans are (start, end) in bytes."""
     spark = docs.sparkSession
-    gram = gram or length // 2
     texts, name = _bucketed(docs, id_col, text_col)
+    try:
+        return _without_repeats(texts, length, gram or length // 2, group_rows)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        discard(spark, os.path.join(shared_dir(spark), name))
 
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for doc, h, body in batch.itertuples(index=False):
-                key, *_ = segments(np.frombuffer(body, np.uint8), length, gram)
-                if len(key):
-                    key, n = np.unique(key, return_counts=True)
-                    yield pd.DataFrame({"doc_id": doc, "h": h, "key": key, "n": n})
 
-    anchored = stage(texts.mapInPandas(_batched(keys), "doc_id long, h long, key long, n long"), "sfx-keys")
-    twice = anchored.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
-    wanted = anchored.join(twice, "key").groupBy("doc_id", "h").agg(F.collect_set("key").alias("keys"))
+def _anchored(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """``row, key, digest, near, start, windows``: all segments of the texts."""
 
-    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for doc, h, body, want in batch.itertuples(index=False):
+            parts, digests = [], []
+            for row, body in zip(batch["row"], batch["body"], strict=True):
                 key, anchor, first, last = segments(np.frombuffer(body, np.uint8), length, gram)
-                pick = np.flatnonzero(np.isin(key, np.asarray(want, np.int64)))
-                places: dict[tuple[int, bytes], list[int]] = {}
-                for k, a, f, e in zip(key[pick].tolist(), anchor[pick].tolist(), first[pick].tolist(), last[pick].tolist(), strict=True):
-                    places.setdefault((k, a - f, xxhash.xxh3_128_digest(body[f : e + length])), []).append((f, e - f + 1))
-                rows = [(doc, h, k, d, near, v[0][1], [f for f, _ in v]) for (k, near, d), v in places.items()]
-                yield pd.DataFrame(rows, columns=["doc_id", "h", "key", "digest", "near", "windows", "starts"])
-
-    held = stage(
-        texts.join(wanted, ["doc_id", "h"]).select("doc_id", "h", "body", "keys")
-        .mapInPandas(_batched(digests), "doc_id long, h long, key long, digest binary, near int, windows int, starts array<int>"),
-        "sfx-held",
-    )
-    place = F.struct("doc_id", "h", F.element_at("starts", 1).alias("start"), "windows", "near")
-    classes = stage(held.groupBy("key", "digest").agg(F.sum(F.size("starts")).alias("n"), F.min(place).alias("place")), "sfx-classes")
-    several = classes.groupBy("key").agg(F.count("*").alias("classes")).where("classes > 1").select("key")
-    asked = (
-        classes.join(several, "key").select("key", "digest", "place.*").groupBy("doc_id", "h")
-        .agg(F.collect_list(F.struct("key", "digest", "start", "windows", "near")).alias("asked"))
-    )
+                view = memoryview(body)
+                digests += [xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)]
+                parts.append((np.full(len(key), row, np.int64), key, anchor - first, first, last - first + 1))
+            row, key, near, start, windows = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 5
+            yield pd.DataFrame({"row": row, "key": key, "digest": digests, "near": near, "start": start, "windows": windows})
+
+    return texts.select("row", "body").mapInPandas(anchors, "row long, key long, digest binary, near int, start long, windows int")
+
+
+def _without_repeats(texts: DataFrame, length: int, gram: int, group_rows: int) -> DataFrame:
+    # What is joined is written first, so that a join is free to split an anchor or class with very many rows.
+    anchored = stage(_anchored(texts, length, gram), "sfx-anchored")
+    twice = stage(anchored.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "sfx-keys")
+    held = stage(anchored.join(twice, "key"), "sfx-held")
+    place = F.struct("row", "start")
+    classes = held.groupBy("key", "digest").agg(F.min("near").alias("near"), F.min("windows").alias("windows"), F.min(place).alias("a"), F.max(place).alias("b"))
+    places = F.array_distinct(F.array(F.struct(F.lit(0).alias("copy"), "a.*"), F.struct(F.when(F.col("a") == F.col("b"), 0).otherwise(1).alias("copy"), "b.*")))
+    wanted = classes.select("key", "digest", "near", "windows", F.explode(places).alias("p")).select("key", "digest", "near", "windows", "p.*")
+    asked = wanted.groupBy("row").agg(F.collect_list(F.struct("key", "digest", "copy", "start", "windows", "near")).alias("asked"))
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for body, asked_ in batch.itertuples(index=False):
-                rows += [(q["key"], bytes(q["digest"]), str(q["key"]), 0, q["near"], body[q["start"] : q["start"] + q["windows"] - 1 + length]) for q in asked_]
-            yield pd.DataFrame(rows, columns=["key", "digest", "grp", "first", "near", "body"])
+                rows += [(q["key"], bytes(q["digest"]), q["copy"], str(q["key"]), 0, q["near"], body[q["start"] : q["start"] + q["windows"] - 1 + length]) for q in asked_]
+            yield pd.DataFrame(rows, columns=["key", "digest", "copy", "grp", "first", "near", "body"])
 
-    # A repeated row is fetched once per copy; one is enough, since its class is known to be repeated.
     bodies = stage(
-        texts.join(asked, ["doc_id", "h"]).select("body", "asked")
-        .mapInPandas(_batched(fetch), "key long, digest binary, grp string, first int, near int, body binary"),
+        texts.join(asked, "row").select("body", "asked")
+        .mapInPandas(_batched(fetch), "key long, digest binary, copy int, grp string, first int, near int, body binary"),
         "sfx-bodies",
-    ).dropDuplicates(["key", "digest"])
-    ranges = _sort_groups(bodies, length, group_rows)
-    whole = classes.where("n > 1").select("key", "digest", F.lit(0).alias("lo"), F.col("place.windows").alias("hi"))
-    once = classes.where("n = 1").select("key", "digest")
-    decided = whole.unionByName(ranges.join(once, ["key", "digest"], "left_semi"))
-    removed = (
-        held.join(decided, ["key", "digest"])
-        .select("doc_id", "h", F.explode(F.transform("starts", lambda s: F.struct((s + F.col("lo")).alias("a"), (s + F.col("hi") - 1 + length).alias("b")))).alias("cut"))
-        .groupBy("doc_id", "h").agg(F.collect_list("cut").alias("cuts"))
     )
+    decided = stage(_sort_groups(bodies, length, group_rows), "sfx-decided")
+    cut = F.struct((F.col("start") + F.col("lo")).alias("a"), (F.col("start") + F.col("hi") - 1 + length).alias("b"))
+    removed = held.join(decided, ["key", "digest"]).groupBy("row").agg(F.collect_list(cut).alias("cuts"))
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -351,13 +321,13 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                     at = b
                 digest.update(body[at:])
                 rows.append((doc, len(body), sum(b - a for a, b in spans), len(spans), digest.hexdigest(), ",".join(f"{a}:{b}" for a, b in spans)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+            frame = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+            yield frame.assign(doc_id=batch["doc_id"].to_numpy())
 
-    done = texts.join(removed, ["doc_id", "h"], "left").select("doc_id", "body", "cuts")
-    out = stage(done.mapInPandas(_batched(finish), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string"), "sfx-out")
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    discard(spark, os.path.join(shared_dir(spark), name))
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+    done = texts.join(removed, "row", "left").select("doc_id", "body", "cuts")
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    out = done.mapInPandas(_batched(finish), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string")
+    return stage(out, "sfx-out")
 
 
 def _batched(fn, rows: int = 20_000):

@@ -500,6 +500,23 @@ def test_removal_equals_counting_all_windows(spark, group_rows):
     assert [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got] == plain_removal(texts, 40)
 
 
+@needs_tables
+def test_removal_at_full_length_on_tables(spark):
+    rows = texts_of(spark)
+    got = suffix_dedup.remove_repeats(docs_of(spark)).orderBy("doc_id").collect()
+    assert [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got] == plain_removal([t for _, t in rows], 400)
+    assert sum(r["n_removed"] > 0 for r in got) > 20
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_removal_of_repeated_rows_and_missing_ids(spark, kind):
+    passage = "0123456789" * 5
+    rows = [(None, passage), (None, passage), (None, "x" + passage), ("7", "only here, and rather long, so that it has windows"), ("8", passage[:39]), ("9", None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").withColumn("doc_id", F.col("doc_id").cast(kind)).withColumn("row", F.lit("clash")).withColumn("body", F.lit(1))
+    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"]) for r in suffix_dedup.remove_repeats(docs, length=40).collect())
+    assert got == [("7", 50, 0), ("8", 39, 0), ("9", 0, 0), ("None", 50, 50), ("None", 50, 50), ("None", 51, 50)]
+
+
 def test_removal_of_odd_rows(odd, empty):
     got = suffix_dedup.remove_repeats(odd).collect()
     assert len(got) == 10 and {r["n_removed"] for r in got if r["doc_id"] != 6} == {0}
