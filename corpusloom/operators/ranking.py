@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stem as stemming
 from ..functions.text import index_tokens, query_words
+from ..staging import stage
 
 # Provenance tiers from most to least trusted; what an unknown tier counts as.
 TIERS = ("authored", "curated", "upstream", "untrusted", "unknown")
@@ -56,23 +57,48 @@ def token_rows(chunks: DataFrame, id_col: str, text_col: str, headings_col: str
     return text.unionByName(head)
 
 
-def build_index(chunks: DataFrame, *, id_col: str = "chunk_id", text_col: str = "text", headings_col: str | None = None, stem: bool = False, positions: bool = False) -> LexicalIndex:
-    """Postings in one aggregation of the tokens; with ``stem``, the distinct terms alone go through Python."""
+def build_index(chunks: DataFrame, *, id_col: str = "chunk_id", text_col: str = "text", headings_col: str | None = None, stem: bool = False, positions: bool = False, staged: bool = False) -> LexicalIndex:
+    """Postings in one aggregation of the tokens; with ``stem``, the distinct terms alone go through Python.  ``staged``
+    writes the postings, so that all that is taken from them reads the texts once."""
     tokens = token_rows(chunks, id_col, text_col, headings_col)
-    if stem:
-        vocabulary = stemming.normalised_vocabulary(tokens)
-        tokens = tokens.join(vocabulary, "term").select("chunk_id", "field", "pos", F.col("norm").alias("term"))
     places = lambda field: F.collect_list(F.when(F.col("field") == field, F.col("pos")))
     count = lambda field: F.count_if(F.col("field") == field)
     extra = [places("text").alias("pos_text"), places("head").alias("pos_head")] if positions else []
     postings = tokens.groupBy("chunk_id", "term").agg(count("text").alias("tf_text"), count("head").alias("tf_head"), *extra)
+    if staged:
+        postings = stage(postings, "postings")
+    if stem:
+        merged = [F.flatten(F.collect_list(c)).alias(c) for c in ("pos_text", "pos_head")] if positions else []
+        named = postings.join(stemming.normalised_vocabulary(postings), "term").groupBy("chunk_id", F.col("norm").alias("term"))
+        postings = named.agg(F.sum("tf_text").alias("tf_text"), F.sum("tf_head").alias("tf_head"), *merged)
+        if staged:
+            postings = stage(postings, "postings")
     return index_of(postings, chunks.select(F.col(id_col).alias("chunk_id")), stem)
 
 
+def index_for(chunks: DataFrame, queries: DataFrame, *, id_col: str = "chunk_id", text_col: str = "text", headings_col: str | None = None, query_text: str = "question") -> LexicalIndex:
+    """An index of the terms that ``queries`` ask for, for a corpus that has none: the texts are read once, and a chunk's
+    other tokens are one row before the shuffle, which counts towards its length alone."""
+    asked = stage(query_items(queries, text_col=query_text).select("term", F.lit(True).alias("asked")).distinct(), "asked-terms")
+    named = lambda field, column: F.transform(index_tokens(F.col(column)), lambda t: F.struct(F.lit(field).alias("field"), t.alias("term")))
+    empty = F.expr("cast(array() as array<struct<field:string,term:string>>)")
+    fields = [("text", text_col), *([("head", headings_col)] if headings_col else [])]
+    tokens = F.concat(*[F.coalesce(named(*f), empty) for f in fields])
+    rows = chunks.select(F.col(id_col).alias("chunk_id"), F.explode_outer(tokens).alias("t")).select("chunk_id", "t.field", "t.term").join(asked, "term", "left")
+    count = lambda field: F.count_if(F.col("field") == field)
+    by_term = rows.groupBy("chunk_id", F.when(F.col("asked"), F.col("term")).alias("term")).agg(count("text").alias("tf_text"), count("head").alias("tf_head"))
+    counts = stage(by_term, "term-counts")
+    lengths = counts.groupBy("chunk_id").agg(F.sum(F.col("tf_text") + F.col("tf_head")).alias("n"))
+    return _derived(counts.where("term is not null"), lengths, False)
+
+
 def index_of(postings: DataFrame, ids: DataFrame, stemmed: bool) -> LexicalIndex:
     """The derived tables; chunks without a token count towards the corpus with length 0."""
     sums = postings.groupBy("chunk_id").agg(F.sum(F.col("tf_text") + F.col("tf_head")).alias("n"))
-    lengths = ids.join(sums, "chunk_id", "left").select("chunk_id", F.coalesce("n", F.lit(0)).alias("n"))
+    return _derived(postings, ids.join(sums, "chunk_id", "left").select("chunk_id", F.coalesce("n", F.lit(0)).alias("n")), stemmed)
+
+
+def _derived(postings: DataFrame, lengths: DataFrame, stemmed: bool) -> LexicalIndex:
     corpus = lengths.agg(F.count("*").alias("chunks"), F.avg("n").alias("avg_len"))
     df = postings.groupBy("term").agg(F.count("*").alias("n_docs"))
     terms = df.crossJoin(F.broadcast(corpus)).select("term", "n_docs", _idf(F.col("chunks"), F.col("n_docs")).alias("idf"))
@@ -144,13 +170,15 @@ def lexical_search(index: LexicalIndex, queries: DataFrame, k: int = 20, **optio
     return top_k(bm25_scores(index, queries, **options), k)
 
 
-def _blocks(rows: DataFrame, prefix: str, block_rows: int) -> DataFrame:
-    """``dim, block, ids, vectors``: unit vectors of about ``block_rows`` rows of one length as one blob of doubles."""
+def _blocks(rows: DataFrame, prefix: str, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """``dim, block, ids, vectors``: unit vectors of about ``block_rows`` rows of one length as one blob of doubles; and
+    ``dim, blocks``, how many there are."""
     kind = rows.schema["id"].dataType.simpleString()
     usable = rows.where(F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False)) & ~F.coalesce(F.exists("v", lambda x: x.isNull() | F.isnan(x)), F.lit(False)))
     sized = usable.withColumn("dim", F.size("v"))
     counts = sized.groupBy("dim").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    placed = sized.join(counts, "dim").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    # One row per length of vectors, of which there are a few; all rows have one of them, so they are dealt out by block.
+    placed = sized.join(F.broadcast(counts), "dim").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         v = np.array(group["v"].tolist(), dtype=np.float64)
@@ -158,8 +186,9 @@ def _blocks(rows: DataFrame, prefix: str, block_rows: int) -> DataFrame:
         first = group.iloc[:1]
         return pd.DataFrame({"dim": first["dim"], "block": first["block"], "ids": [group["id"].tolist()], "vectors": [v.tobytes()]})
 
-    packed = placed.select("dim", "block", "id", "v").groupBy("dim", "block").applyInPandas(pack, f"dim int, block long, ids array<{kind}>, vectors binary")
-    return packed.select("dim", *[F.col(c).alias(f"{prefix}_{c}") for c in ("block", "ids", "vectors")])
+    dealt = placed.select("dim", "block", "id", "v").repartition("dim", "block").groupBy("dim", "block")
+    packed = dealt.applyInPandas(pack, f"dim int, block long, ids array<{kind}>, vectors binary")
+    return packed.select("dim", *[F.col(c).alias(f"{prefix}_{c}") for c in ("block", "ids", "vectors")]), counts
 
 
 def dense_search(
@@ -177,15 +206,19 @@ def dense_search(
     """Exact nearest neighbours, best ``k`` per query; ``allow`` (a frame with the id column) restricts the candidates first.
 
     Blocks of queries meet blocks of vectors as matrix products, of which only each query's best ``k`` leave a task;
-    neither side is broadcast or held whole anywhere.  Zero vectors on either side have no list.
+    neither side is held whole anywhere.  Each block of vectors is built once and sent to every block of queries.  Zero
+    vectors on either side have no list.
     """
     if allow is not None:
         vectors = vectors.join(allow.select(id_col).distinct(), id_col, "left_semi")
     base = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
     asked = queries.select(F.col(query_id).alias("id"), F.col(query_vector).alias("v"))
-    left, right = _blocks(base, "v", block_rows), _blocks(asked, "q", block_rows)
-    pairs = left.select("dim", "v_block").join(right.select("dim", "q_block"), "dim")
-    work = pairs.join(left, ["dim", "v_block"]).join(right, ["dim", "q_block"])
+    (left, _), (right, asked_blocks) = _blocks(base, "v", block_rows), _blocks(asked, "q", block_rows)
+    sent = left.join(F.broadcast(asked_blocks), "dim").withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
+    # Each block of queries is copied to so many salts that no task gets all blocks of vectors.
+    salts = 64
+    left_salt, right_salts = F.pmod("v_block", F.lit(salts)), F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    work = sent.withColumn("salt", left_salt.cast("int")).join(right.withColumn("salt", right_salts), ["dim", "q_block", "salt"])
     q_kind, v_kind = asked.schema["id"].dataType.simpleString(), base.schema["id"].dataType.simpleString()
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

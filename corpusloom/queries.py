@@ -63,7 +63,7 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lexical(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    index = ranking.build_index(_corpus(spark, sf_dir), id_col="chunk_id")
+    index = ranking.index_for(_corpus(spark, sf_dir), _questions(spark, sf_dir))
     return ranking.lexical_search(index, _questions(spark, sf_dir), k, weights=(1.0, 1.0))
 
 
@@ -222,13 +222,13 @@ def _pages(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {WORDS_CTE}, {_postings_sql(PAGE_CHUNKS)}, {_scores_sql(0.5, 1.0)}, {_ranked_sql(10)} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM ranked")
 def k01_bm25_two_field(spark, sf_dir):
-    index = ranking.build_index(_pages(spark, sf_dir), headings_col="headings")
+    index = ranking.index_for(_pages(spark, sf_dir), _questions(spark, sf_dir), headings_col="headings")
     return ranking.lexical_search(index, _questions(spark, sf_dir), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query()
 def k01_bm25_stemmed(spark, sf_dir):
-    index = ranking.build_index(_pages(spark, sf_dir), headings_col="headings", stem=True, positions=True)
+    index = ranking.build_index(_pages(spark, sf_dir), headings_col="headings", stem=True, positions=True, staged=True)
     return ranking.lexical_search(index, _questions(spark, sf_dir), 10, phrases=True).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -313,7 +313,7 @@ placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY roun
 
 def _fused(spark, sf_dir) -> DataFrame:
     """The lexical ranking and a second one of the same matches, shortest document first."""
-    index = ranking.build_index(_corpus(spark, sf_dir))
+    index = ranking.index_for(_corpus(spark, sf_dir), _questions(spark, sf_dir))
     scores = ranking.bm25_scores(index, _questions(spark, sf_dir), weights=(1.0, 1.0))
     short = scores.join(index.lengths, "chunk_id").select("query_id", "chunk_id", (-F.col("n")).cast("double").alias("score"))
     rank = lambda s, name: ranking.top_k(s, 20).select("query_id", "chunk_id", "rank", F.lit(name).alias("retriever"))
@@ -458,7 +458,7 @@ summary AS (SELECT retriever, count(*) AS questions, avg(hit) AS hit, avg(recall
 
 def _lanes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Ranked rows of two retrievers, and the targets of each question: a document, and a heading in another."""
-    index = ranking.build_index(_corpus(spark, sf_dir))
+    index = ranking.index_for(_corpus(spark, sf_dir), _questions(spark, sf_dir))
     scores = ranking.bm25_scores(index, _questions(spark, sf_dir), weights=(1.0, 1.0))
     short = scores.join(index.lengths, "chunk_id").select("query_id", "chunk_id", (-F.col("n")).cast("double").alias("score"))
     lanes = ranking.top_k(scores, 20).withColumn("retriever", F.lit("lexical")).unionByName(ranking.top_k(short, 20).withColumn("retriever", F.lit("short")))
