@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import importlib.util
 from collections.abc import Iterator, Mapping
 from typing import Protocol
 
@@ -61,18 +62,26 @@ class HashingEmbedder:
 
     name = "hashing"
 
-    def __init__(self, dim: int = 512):
+    def __init__(self, dim: int = 512, hasher: str = "blake2b"):
         if dim <= 0:
             raise EmbeddingError(f"dim must be positive, not {dim}")
-        self.dim, self.signature = dim, f"hashing:{dim}"
+        self.dim, self.hasher, self.signature = dim, hasher, f"hashing:{dim}" + ("" if hasher == "blake2b" else f":{hasher}")
+
+    def _place(self, token: str) -> tuple[int, float]:
+        """(bucket, sign) of a token; by MD5 as ``md5_bucket`` has it."""
+        if self.hasher == "md5":
+            v = int.from_bytes(hashlib.md5(token.encode()).digest()[:4], "big")
+            return v % self.dim, 1.0 if v >> 31 else -1.0
+        v = int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "big")
+        return v % self.dim, 1.0 if v >> 63 else -1.0
 
     def encode_one(self, text: str) -> np.ndarray:
         import re
 
         out = np.zeros(self.dim)
         for token in re.findall("[a-z0-9]+", text.lower()):
-            v = int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "big")
-            out[v % self.dim] += 1.0 if v >> 63 else -1.0
+            bucket, sign = self._place(token)
+            out[bucket] += sign
         norm = np.linalg.norm(out)
         return out / norm if norm else out
 
@@ -88,17 +97,16 @@ class HashingEmbedder:
 
 
 class ModelEmbedder:
-    """A sentence-embedding model, loaded once per worker when first used; needs its library installed."""
+    """A sentence-embedding model, loaded once per worker when first used; needs its library installed.  ``dim`` is the
+    model's width, so that the driver need not load it; vectors of another width are refused when they are stored."""
 
     name = "sentence-transformers"
 
-    def __init__(self, model: str = "sentence-transformers/all-MiniLM-L6-v2", batch_size: int = 64):
-        try:
-            from sentence_transformers import SentenceTransformer
-        except ImportError as e:
-            raise EmbeddingError("the sentence-transformers library is not installed; use provider: hashing") from e
+    def __init__(self, model: str = "sentence-transformers/all-MiniLM-L6-v2", batch_size: int = 64, dim: int = 384):
+        if importlib.util.find_spec("sentence_transformers") is None:
+            raise EmbeddingError("the sentence-transformers library is not installed; use provider: hashing")
         self.model, self.batch_size, self.signature = model, batch_size, f"sentence-transformers:{model}"
-        self.dim = SentenceTransformer(model, device="cpu").get_sentence_embedding_dimension()
+        self.dim = dim
 
     def encode(self, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
         name, size = self.model, self.batch_size
@@ -122,5 +130,5 @@ def make_embedder(config: Mapping[str, object] | None = None) -> Embedder:
     if provider in ("hashing", "hash", "test"):
         return HashingEmbedder(int(config.get("dim", 512)))
     if provider in ("sentence-transformers", "st", "local"):
-        return ModelEmbedder(str(config.get("model", "sentence-transformers/all-MiniLM-L6-v2")), int(config.get("batch_size", 64)))
+        return ModelEmbedder(str(config.get("model", "sentence-transformers/all-MiniLM-L6-v2")), int(config.get("batch_size", 64)), int(config.get("dim", 384)))
     raise EmbeddingError(f"unknown embedding provider {provider!r}; embeddings are computed locally, by hashing or sentence-transformers")

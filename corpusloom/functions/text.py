@@ -6,11 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Function words that a query drops unless it has nothing else.
-STOPWORDS = tuple(
-    "a about again all am an and any are at be been being both but by can did do does doing done each few for from had has have having "
-    "how i if in into is it its just me more most my no nor not now of on only or other our over own same should so some such than that "
-    "the then these this those to too under very was we were what when where which who whom whose why will with you your".split()
-)
+STOPWORDS = (
+    "a", "about", "again", "all", "am", "an", "and", "any", "are", "at", "be", "been", "being", "both", "but", "by", "can", "did", "do",
+    "does", "doing", "done", "each", "few", "for", "from", "had", "has", "have", "having", "how", "i", "if", "in", "into", "is", "it",
+    "its", "just", "me", "more", "most", "my", "no", "nor", "not", "now", "of", "on", "only", "or", "other", "our", "over", "own", "same",
+    "should", "so", "some", "such", "than", "that", "the", "then", "these", "this", "those", "to", "too", "under", "very", "was", "we",
+    "were", "what", "when", "where", "which", "who", "whom", "whose", "why", "will", "with", "you", "your",
+)
 # Shortest query term kept; length of a citation segment; markup and notes cut from headings.
 MIN_TERM = 2
 SEGMENT = 48
@@ -70,6 +72,11 @@ def citation(rel: Column, ref: Column, path: Column, part: Column, parts: Column
     return F.when(parts > 1, F.concat(base, F.lit(" ("), (part + 1).cast("string"), F.lit("/"), parts.cast("string"), F.lit(")"))).otherwise(base)
 
 
+def heading_path(c: Column) -> Column:
+    """A heading path from its JSON; empty if that is null, broken or no list."""
+    return F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
+
+
 def sentences(c: Column) -> Column:
     return F.filter(F.split(flat(c), r"(?<=[.!?])\s+"), lambda s: s != "")
 

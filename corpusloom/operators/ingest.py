@@ -79,3 +79,9 @@ def removed(found: DataFrame, known: DataFrame) -> DataFrame:
 def replace_documents(current: DataFrame, new: DataFrame, drop: DataFrame) -> DataFrame:
     """Rows of the documents in ``drop`` go, ``new`` rows come: a new snapshot of a table with a doc_id."""
     return current.join(drop.select("doc_id").distinct(), "doc_id", "left_anti").select(*current.columns).unionByName(new)
+
+
+def drop_documents(chunks: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the chunks that stay, ``chunk_id`` of those that go with their documents); both from one table of chunks."""
+    ids = gone.select("doc_id").distinct()
+    return chunks.join(ids, "doc_id", "left_anti"), chunks.join(ids, "doc_id", "left_semi").select("chunk_id")

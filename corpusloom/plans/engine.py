@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import EvaluationError, GenerationError, IndexStoreError
 from ..functions.embed import Embedder
 from ..operators import answering, chunking, evaluation, ingest, ranking, vectors
+from ..staging import stage
 from .store import IndexStore, Snapshot
 
 MODES = ("lexical", "dense", "fused")
@@ -28,6 +30,7 @@ class IndexReport:
     unchanged: int
     removed: int
     chunks_written: int = 0
+    chunks_dropped: int = 0
     embedded: int = 0
     signature: str = ""
 
@@ -46,27 +49,28 @@ def build(spark: SparkSession, store: IndexStore, documents: DataFrame, embedder
     current = None if rebuild else store.current()
     documents = documents.dropDuplicates(["doc_id"])
     known = current.table("documents") if current else spark.createDataFrame([], "doc_id string, content_hash string")
-    plan = ingest.plan(documents.select("doc_id", "content_hash"), known.select("doc_id", "content_hash")).cache()
+    plan = ingest.plan(documents.select("doc_id", "content_hash"), known.select("doc_id", "content_hash"))
+    plan = stage(plan, "index-plan")
     counts = {r["status"]: r["n"] for r in plan.groupBy("status").agg(F.count("*").alias("n")).collect()}
     report = {s: counts.get(s, 0) for s in ("added", "changed", "unchanged", "removed")}
     if dry_run:
-        plan.unpersist()
         return IndexReport(**report)
 
     todo = ingest.work(plan)
     gone = plan.where(F.col("status") != "unchanged").select("doc_id")
-    made = chunking.chunks(documents.join(F.broadcast(todo) if report["added"] + report["changed"] < 100_000 else todo, "doc_id", "left_semi"), max_chars=max_chars).cache()
+    made = chunking.chunks(documents.join(F.broadcast(todo) if report["added"] + report["changed"] < 100_000 else todo, "doc_id", "left_semi"), max_chars=max_chars)
+    made = stage(made, "index-chunks")
     stamp = F.lit(datetime.now(UTC).replace(tzinfo=None, microsecond=0)).cast("timestamp")
     sizes = made.groupBy("doc_id").agg(F.count("*").cast("int").alias("chunk_count"))
     new_docs = documents.join(todo, "doc_id", "left_semi").join(sizes, "doc_id", "left").select("doc_id", "rel", "content_hash", "trust", "size", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), stamp.alias("indexed_at"))
     fresh = ranking.build_index(made.withColumn("headings", F.array_join("heading_path", " / ")), headings_col="headings", stem=True, positions=True).postings
     if current:
         docs = ingest.replace_documents(known, new_docs, gone)
-        chunks = ingest.replace_documents(current.table("chunks"), made, gone)
-        kept = current.table("chunks").join(gone, "doc_id", "left_anti").select("chunk_id")
+        stay, dropped = ingest.drop_documents(current.table("chunks"), gone)
+        chunks, kept = stay.unionByName(made), stay.select("chunk_id")
         postings = current.table("postings").join(kept, "chunk_id", "left_semi").unionByName(fresh)
     else:
-        docs, chunks, postings = new_docs, made, fresh
+        docs, chunks, postings, dropped = new_docs, made, fresh, None
     lexical = ranking.index_of(postings, chunks.select("chunk_id"), True)
 
     empty = spark.createDataFrame([], VECTOR_SCHEMA)
@@ -74,7 +78,7 @@ def build(spark: SparkSession, store: IndexStore, documents: DataFrame, embedder
     old = empty
     if embedder is not None:
         signature = embedder.signature
-        if current and current.signature == signature:
+        if current and current.signature == signature and current.vectors_sound(embedder.dim):
             # A chunk id says where a chunk is, not what it says: of changed documents no vector is kept.
             old = current.table("vectors").where(F.col("signature") == signature).join(kept, "chunk_id", "left_semi")
         missing = chunks.join(old.select("chunk_id"), "chunk_id", "left_anti").select("chunk_id", "text")
@@ -83,12 +87,10 @@ def build(spark: SparkSession, store: IndexStore, documents: DataFrame, embedder
         embedded = missing.count()
     else:
         table = empty
-    written = made.count()
+    written, lost = made.count(), dropped.count() if dropped is not None else 0
     tables = {"documents": docs, "chunks": chunks, "postings": lexical.postings, "lengths": lexical.lengths, "terms": lexical.terms, "corpus": lexical.corpus, "vectors": table}
     store.publish(tables, embedder_signature=signature, stemmed=True)
-    plan.unpersist()
-    made.unpersist()
-    return IndexReport(**report, chunks_written=written, embedded=embedded, signature=signature)
+    return IndexReport(**report, chunks_written=written, chunks_dropped=lost, embedded=embedded, signature=signature)
 
 
 def open_index(store: IndexStore) -> Snapshot:
@@ -233,6 +235,42 @@ class ExtractiveGenerator:
         return answers.select("*", F.col("citations").alias("supported"), none.alias("unsupported"), F.lit(True).alias("grounded"))
 
 
+class ModelGenerator:
+    """Answers by a model that the caller brings, one call for each question, from the executors.
+
+    ``complete(instructions, prompt, max_tokens)`` gives (text, why it stopped): "end", "length" or "refusal".  Beside the
+    answer stand the citations that no passage supports, and ``warnings`` of refusals, cut answers and those citations.
+    """
+
+    name = "model"
+
+    def __init__(self, complete: Callable[[str, str, int], tuple[str, str]], max_tokens: int = 4096):
+        self.complete, self.max_tokens = complete, max_tokens
+
+    def answer(self, passages: DataFrame, questions: DataFrame) -> DataFrame:
+        complete, limit = self.complete, self.max_tokens
+        blocks = answering.formatted(passages).join(passages.select("query_id", "rank", "citation"), ["query_id", "rank"])
+        given = blocks.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "block", "citation"))).alias("p"))
+        prompt = F.concat_ws("\n\n", F.array_join(F.col("p.block"), "\n\n"), F.concat(F.lit("Question: "), F.col("question")))
+        asked = questions.join(given, "query_id", "left").select("query_id", F.when(F.col("p").isNotNull(), prompt).alias("prompt"), F.coalesce(F.col("p.citation"), F.array().cast("array<string>")).alias("citations"))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                replies = [complete(answering.INSTRUCTIONS, p, limit) if p is not None else (answering.NO_PASSAGE, "end") for p in batch["prompt"]]
+                yield batch.drop(columns="prompt").assign(answer=[r[0] or "" for r in replies], stop=[r[1] for r in replies])
+
+        kind = asked.schema["query_id"].dataType.simpleString()
+        replied = asked.mapInPandas(run, f"query_id {kind}, citations array<string>, answer string, stop string")
+        checked = answering.check_citations(stage(replied, "replies"))
+        notes = F.array(
+            F.when(F.col("stop") == "refusal", F.lit("the model declined to answer")),
+            F.when(F.col("stop") == "length", F.lit(f"the answer was cut at {limit} tokens")),
+            F.when(F.size("unsupported") > 0, F.concat(F.lit("cited but not supplied: "), F.array_join("unsupported", ", "))),
+        )
+        grounded = F.col("grounded") & (F.col("stop") != "refusal")
+        return checked.withColumn("grounded", grounded).withColumn("warnings", F.filter(notes, lambda n: n.isNotNull())).drop("stop")
+
+
 def make_generator(config) -> ExtractiveGenerator:
     provider = str((config or {}).get("provider", "extractive")).strip().lower()
     if provider in ("extractive", "none", "local", "off"):

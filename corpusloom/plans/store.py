@@ -9,7 +9,10 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..errors import IndexStoreError
 from ..operators.ranking import LexicalIndex
@@ -31,6 +34,14 @@ class Snapshot:
     def signature(self) -> str:
         return str(self.meta.get("embedder_signature") or "")
 
+    def vectors_sound(self, dim: int) -> bool:
+        """Whether the vector table can be read, names each chunk once, and holds vectors of ``dim`` only."""
+        try:
+            facts = self.table("vectors").agg(F.count("*").alias("n"), F.countDistinct("chunk_id").alias("ids"), F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high")).first()
+        except (PySparkException, Py4JError):
+            return False
+        return facts["n"] == facts["ids"] and (not facts["n"] or facts["low"] == facts["high"] == dim)
+
     def lexical(self) -> LexicalIndex:
         return LexicalIndex(self.table("postings"), self.table("lengths"), self.table("terms"), self.table("corpus"), bool(self.meta.get("stemmed", True)))
 

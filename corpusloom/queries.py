@@ -577,18 +577,63 @@ def _markdown(spark, sf_dir) -> DataFrame:
     return by_conversation.select(identity.doc_id(rel).alias("doc_id"), rel.alias("rel"), F.lit("authored").alias("trust"), F.concat(F.lit("# Talk\n\n"), "body").alias("text"))
 
 
-@query()
+# Each conversation's turns in order, as the sections they become; nl counts a text's lines.
+TURNS_SQL = r"""
+turns AS (SELECT conv_id, concat('talks/', CAST(conv_id AS VARCHAR), '.md') AS rel, turn, text, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ordinal,
+    concat(CAST(turn + 1 AS VARCHAR), ' ', role) AS title, length(text) - length(replace(text, chr(10), '')) + 1 AS nl, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1 AS final FROM conversations),
+spans AS (SELECT *, 3 + coalesce(sum(3 + nl) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_line FROM turns)"""
+
+
+@query(f"""WITH {TURNS_SQL}
+    SELECT DISTINCT substr(sha256(rel), 1, 16) AS doc_id, 0 AS ordinal, 1 AS level, 'Talk' AS title, CAST(NULL AS VARCHAR) AS section_ref, 1 AS start_line, 2 AS end_line, CAST(NULL AS INT) AS parent FROM turns
+    UNION ALL SELECT substr(sha256(rel), 1, 16), CAST(ordinal AS INT), 2, title, CAST(turn + 1 AS VARCHAR), CAST(start_line AS INT),
+        CAST(start_line + 1 + nl + CASE WHEN final THEN CASE WHEN ends_with(text, chr(10)) THEN -1 ELSE 0 END ELSE 1 END AS INT), 0 FROM spans""")
 def t04_sections(spark, sf_dir):
     rows = chunking.section_rows(_markdown(spark, sf_dir))
     return rows.select("doc_id", "ordinal", "level", "title", "section_ref", "start_line", "end_line", "parent")
 
 
-@query()
+def windows_sql(source: str) -> str:
+    """CTEs up to parts (id, number, a, piece) over a relation (id, body): paragraphs seated in windows one by one, longer
+    ones cut one window after the other.  Needs WITH RECURSIVE."""
+    size, least = chunking.MAX_CHARS, chunking.MAX_CHARS - chunking.OVERLAP
+    fits = f"filled > 0 AND filled + 2 + length(para) <= {size}"
+    seen = f"substr(w, a + {least} + 1, {chunking.OVERLAP})"
+    last = lambda mark: f"CASE WHEN contains({seen}, {mark}) THEN a + {least} + length({seen}) - strpos(reverse({seen}), {mark}) END"
+    end = f"CASE WHEN a + {size} >= length(w) THEN length(w) ELSE coalesce({last('chr(10)')}, {last(chr(39) + ' ' + chr(39))}, a + {size}) END"
+    return rf"""
+paras AS (SELECT id, unnest(p) AS para, unnest(range(len(p))) AS pos FROM (SELECT id, regexp_split_to_array(body, '\n\s*\n') AS p FROM {source} WHERE length(body) > {size})),
+seats AS (SELECT id, pos, 1 AS number, length(para) AS filled FROM paras WHERE pos = 0 UNION ALL
+    SELECT p.id, p.pos, CASE WHEN {fits} THEN number ELSE number + 1 END, CASE WHEN {fits} THEN filled + 2 + length(para) ELSE length(para) END FROM seats s JOIN paras p ON p.id = s.id AND p.pos = s.pos + 1),
+wholes AS (SELECT id, number, string_agg(para, chr(10) || chr(10) ORDER BY pos) AS w, max(number) OVER (PARTITION BY id) AS final FROM seats JOIN paras USING (id, pos) GROUP BY id, number),
+cuts AS (SELECT id, number, w, a, {end} AS b FROM (SELECT id, number, w, 0 AS a FROM wholes WHERE length(w) > {size}) UNION ALL
+    SELECT id, number, w, a, {end} FROM (SELECT id, number, w, greatest(a + 1, b - {chunking.OVERLAP}) AS a FROM cuts WHERE b < length(w))),
+parts AS (SELECT id, 0 AS number, 0 AS a, body AS piece FROM {source} WHERE length(body) <= {size}
+    UNION ALL SELECT id, number, 0, w FROM wholes WHERE length(w) <= {size} AND w != '' AND (number < final OR trim(w, ' ' || chr(10)) != '')
+    UNION ALL SELECT id, number, a, substr(w, a + 1, b - a) FROM cuts)"""
+
+
+def chunks_sql(text_sql: str = "text", where: str = "TRUE") -> str:
+    """CTEs up to chunked (rel, ordinal, turn, part, parts, piece) of the conversations as Markdown."""
+    return rf"""{TURNS_SQL},
+own AS (SELECT conv_id, ordinal, turn, rel, title, regexp_replace(regexp_replace({text_sql}, '^\s+', ''), '\s+$', '') AS body FROM turns WHERE {where}),
+giving AS (SELECT rel, ordinal, turn, title, concat(conv_id, ':', ordinal) AS id, title || chr(10) || chr(10) || body AS body FROM own WHERE length(body) >= {chunking.MIN_CHARS}), {windows_sql("giving")},
+counted AS (SELECT *, count(*) OVER (PARTITION BY id) AS n, row_number() OVER (PARTITION BY id ORDER BY number, a) AS place, length(regexp_replace(regexp_replace(piece, '^\s+', ''), '\s+$', '')) >= {chunking.MIN_CHARS} AS enough FROM parts),
+stay AS (SELECT * FROM counted WHERE enough OR n = 1 OR (place = 1 AND id NOT IN (SELECT id FROM counted WHERE enough))),
+chunked AS (SELECT rel, ordinal, turn, title, piece, CAST(row_number() OVER (PARTITION BY id ORDER BY number, a) - 1 AS INT) AS part, CAST(count(*) OVER (PARTITION BY id) AS INT) AS parts FROM stay JOIN giving USING (id))"""
+
+
+CHUNK_ID_SQL = "substr(sha256(concat(substr(sha256(rel), 1, 16), ':', CAST(ordinal AS VARCHAR), ':', CAST(part AS VARCHAR))), 1, 16)"
+CHUNK_CITED_SQL = "rel || ' §' || CAST(turn + 1 AS VARCHAR) || CASE WHEN parts > 1 THEN ' (' || (part + 1) || '/' || parts || ')' ELSE '' END"
+
+
+@query(f"""WITH RECURSIVE {chunks_sql()} SELECT {CHUNK_ID_SQL} AS chunk_id, {CHUNK_CITED_SQL} AS citation, CAST(ordinal AS INT) AS ordinal, part, parts, CAST(NULL AS VARCHAR) AS parent_chunk_id, length(piece) AS n_chars FROM chunked""")
 def t09_chunks(spark, sf_dir):
     rows = chunking.chunks(_markdown(spark, sf_dir))
-    return rows.select("chunk_id", "citation", "ordinal", "part", "parts", "parent_chunk_id", F.length("text").alias("n_chars"))
+    return rows.select("chunk_id", "citation", "ordinal", "part", "parts", "parent_chunk_id", F.length("text").cast("long").alias("n_chars"))
 
 
-@query()
+@query(f"""WITH RECURSIVE bodies AS (SELECT doc_id AS id, coalesce(text, '') AS body FROM documents), {windows_sql("bodies")}
+    SELECT id AS doc_id, CAST(row_number() OVER (PARTITION BY id ORDER BY number, a) - 1 AS INT) AS part, md5(piece) AS window_md5 FROM parts""")
 def t08_hard_window(spark, sf_dir):
     return chunking.window_rows(_table(spark, sf_dir, "documents")).select("doc_id", "part", F.md5("text").alias("window_md5"))

@@ -11,7 +11,7 @@ from corpusloom.functions.embed import HashingEmbedder
 from corpusloom.operators import ingest
 from corpusloom.plans import engine
 from corpusloom.plans.store import IndexStore
-from corpusloom.sources.config import Config, trust_rules
+from corpusloom.sources.config import catalogue, resolve, trust_rules
 from corpusloom.sources.documents import discover
 from corpusloom.sources.scope import ScopePolicy
 
@@ -97,21 +97,24 @@ retrieval: {{candidates: 20}}
 
 def test_config(corpus):
     (corpus / "config.yaml").write_text(CONFIG.format(dim=64))
-    config = Config.load(start=corpus)
-    assert config.profile_names == ("narrow", "wide") and config.default_profile == "wide"
-    assert config.scope("narrow").exclude == ("drafts", "deep dir") and config.scope("narrow").suffixes == (".md",)
-    assert config.trust("narrow") == ([("*.md", "curated")], "unknown") and config.trust() == ([], "authored")
-    assert config.index_dir("narrow") == corpus / "index/narrow"
+    known = catalogue(start=corpus)
+    narrow, wide = resolve(known, "narrow"), resolve(known)
+    assert tuple(known.profiles) == ("narrow", "wide") and wide.profile == known.default == "wide"
+    assert narrow.scope.exclude == ("drafts", "deep dir") and narrow.scope.suffixes == (".md",)
+    assert narrow.trust == ([("*.md", "curated")], "unknown") and wide.trust == ([], "authored")
+    assert narrow.index_dir == corpus / "index/narrow" and wide.retrieval == {"candidates": 20}
+    with pytest.raises(ConfigError, match="no profile"):
+        resolve(known, "other")
     (corpus / "config.local.yaml").write_text("scope: {roots: [notes]}")
-    assert Config.load(start=corpus).profile_names == ("default",)
+    assert tuple(catalogue(start=corpus).profiles) == ("default",)
     for body, words in (("scope: [1]", "mapping"), ("[1]", "top level"), ("a: [", "YAML"), ("scope: {}", "Nothing"), ("scope: {roots: [a], default_profile: b}", "not defined")):
         (corpus / "config.local.yaml").write_text(body)
         with pytest.raises(ConfigError, match=words):
-            Config.load(start=corpus).default_profile
+            catalogue(start=corpus)
     with pytest.raises(ConfigError, match="not found"):
-        Config.load(corpus / "none.yaml")
+        catalogue(corpus / "none.yaml")
     with pytest.raises(ConfigError, match="no configuration"):
-        Config.load(start=corpus / "notes")
+        catalogue(start=corpus / "notes")
     assert trust_rules(None) == ([], "unknown")
 
 

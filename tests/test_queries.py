@@ -5,7 +5,7 @@ import os
 import parity
 import pytest
 
-from corpusloom.queries_text import ORACLES, QUERIES
+from corpusloom.queries_index import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
