@@ -9,8 +9,9 @@ multipliers from sums over a (source, size) histogram.  Rates are rounded into w
 carrying its rest on to the next, so a source misses its target by about one small document.
 
 Edge cases: null or blank texts have size 0 and are not taken (0 words either way); a null source is a source of
-its own, the last; sources without words have target 0; repeated rows are separate documents (equal ones may get
-different numbers of copies); an empty table gives an empty result; other columns are ignored.
+its own, the last; sources without words have target 0; rows are numbered, so rows that repeat an id or have none are
+separate documents (equal ones may get different numbers of copies); an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -98,17 +99,20 @@ def mix(
     newton_steps: int = 40,
     tolerance: float = 1e-6,
     cell_rows: int = 512,
+    row_col: str | None = None,
 ) -> DataFrame:
-    """``doc_id, size, source_size, target, taken, copies, rate``, one row per document.
+    """``doc_id, size, source_size, target, taken, copies, rate``, one row per document; also ``row``, the number that
+    ``row_col`` holds for each row, where it is given.
 
     The documents' words are counted once; all later steps use (id, source, size) rows.  Which of the equally
     long documents of a source get the extra copy is decided by a hash of the id, in subcells of about
     ``cell_rows`` rows so that a hot cell spreads over tasks.
     """
     size = F.regexp_count(text_or_empty(text_col), F.lit(WORD_SQL)).cast("long")
-    sized = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")), "mix-sizes")
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    sized = stage(docs.select(row.alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")), "mix-sizes")
     sources = stage(source_targets(sized, weights, max_copies), "mix-sources")
-    tagged = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).select("doc_id", "size", "sid", "source_size", "target")
+    tagged = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).select("row", "doc_id", "size", "sid", "source_size", "target")
     hist = stage(tagged.groupBy("sid", "size", "source_size", "target").agg(F.count("*").alias("n")), "mix-hist")
     solved = _solve(hist.select("sid", "size", "n"), sources, max_copies, newton_steps, tolerance)
 
@@ -135,8 +139,10 @@ def mix(
     cells = rated.select("sid", "size", "n", "rate").groupBy("sid").applyInPandas(round_cells, "sid int, size long, n long, rate double, cell_copies long")
     # Cells above a ten-thousandth of all rows, of which there are fewer than that, are dealt out in parts before the join.
     total = hist.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    # By id, so that reruns agree however rows are numbered; rows without an id by number.
+    spread = lambda seed: F.when(F.col("doc_id").isNull(), F.xxhash64("row", F.lit(seed))).otherwise(F.xxhash64("doc_id", F.lit(seed)))
     hot = F.broadcast(hist.where(F.col("n") > max(cell_rows, total // 10_000)).select("sid", "size", F.ceil(F.col("n") / cell_rows).cast("int").alias("parts")))
-    placed = tagged.join(hot, ["sid", "size"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")), F.lit(0)).cast("int"))
+    placed = tagged.join(hot, ["sid", "size"], "left").withColumn("part", F.coalesce(F.pmod(spread(1), F.col("parts")), F.lit(0)).cast("int"))
     counts = placed.where("parts is not null").groupBy("sid", "size", "part").agg(F.count("*").alias("m"))
     upto = F.sum("m").over(Window.partitionBy("sid", "size").orderBy("part"))
     shares = counts.withColumn("upto", upto)
@@ -146,17 +152,21 @@ def mix(
     # The cell's odd copies, dealt to its parts in proportion to their rows without a remainder.
     odd, upto = F.col("cell_copies") % F.col("n"), F.coalesce("upto", "n")
     extra = F.floor(odd * upto / F.col("n")) - F.floor(odd * (upto - F.coalesce("m", "n")) / F.col("n"))
-    copies = F.floor(F.col("cell_copies") / F.col("n")) + (F.row_number().over(cell.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id")) <= extra).cast("long")
-    return rows.select("doc_id", "size", "source_size", "target", F.least(copies, F.lit(top)).alias("copies"), "rate").select(
-        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate"
+    copies = F.floor(F.col("cell_copies") / F.col("n")) + (F.row_number().over(cell.orderBy(spread(7), "doc_id", "row")) <= extra).cast("long")
+    numbered = ["row"] if row_col else []
+    return rows.select("doc_id", "size", "source_size", "target", F.least(copies, F.lit(top)).alias("copies"), "rate", *numbered).select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate", *numbered
     )
 
 
 def take(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` as mixed: each row as often as it is taken, all columns kept.  Ids must be unique; rows without words,
-    which add nothing to any source, stay once."""
-    mixed = mix(docs, id_col=id_col, **options).select(F.col("doc_id").alias("mixed_id"), F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).cast("int").alias("mixed_copies"))
-    mixed = mixed.where("mixed_copies > 0")
-    row = docs.select(F.col(id_col).alias("mixed_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    joined = row.join(mixed, F.col("mixed_key").eqNullSafe(F.col("mixed_id")))
-    return joined.select("row", F.explode(F.array_repeat(F.lit(1), F.col("mixed_copies")))).select("row.*")
+    """``docs`` as mixed: each row as often as it is taken, all columns kept.  Rows are numbered first, so ids may repeat
+    or be null; rows without words, which add nothing to any source, stay once."""
+    number = "row_number"
+    while number in docs.columns:
+        number += "_"
+    numbered = stage(docs.withColumn(number, F.monotonically_increasing_id()), "mix-rows")
+    mixed = mix(numbered, id_col=id_col, row_col=number, **options)
+    mixed = mixed.select("row", F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).cast("int").alias("mixed_copies")).where("mixed_copies > 0")
+    rows = numbered.select(F.col(number).alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"))
+    return rows.join(mixed, "row").select("kept", F.explode(F.array_repeat(F.lit(1), F.col("mixed_copies")))).select("kept.*")

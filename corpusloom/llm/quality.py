@@ -191,28 +191,35 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % 3 == 1
 
 
-def train_model(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **options) -> tuple[DataFrame, QualityModel]:
-    """The statistics of all documents (written once) and a model fitted without held-out rows."""
-    stats = stage(statistics(docs, id_col, text_col), "quality-stats")
+def train_model(stats: DataFrame, labels: DataFrame, *, label_col: str = "quality", **options) -> QualityModel:
+    """A model fitted on ``doc_id, x`` without held-out rows."""
     known = labels.select(F.col("doc_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)").where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
-    return stats, fit(stage(stats.join(known, "doc_id"), "quality-train"), **options)
+    return fit(stage(stats.join(known, "doc_id"), "quality-train"), **options)
+
 
+def filter_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **options) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score reaches ``threshold``.  Each text is measured once, and its
+    statistics are written beside the row, so no text is shuffled."""
+    name = "statistics"
+    while name in docs.columns:
+        name += "_"
 
-def filter_quality(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", threshold: float = 0.5, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score reaches ``threshold``; each row is scored where it is read, so no
-    text is shuffled."""
-    _, model = train_model(docs, labels, text_col=text_col, **options)
+    @F.pandas_udf("array<double>")
+    def measured(texts: pd.Series) -> pd.Series:
+        return pd.Series([text_statistics(t) for t in texts], dtype=object)
+
+    rows = stage(docs.withColumn(name, measured(text_or_empty(text_col))), "quality-rows")
+    model = train_model(rows.select(F.col(id_col).alias("doc_id"), F.col(name).alias("x")), labels, **options)
 
     @F.pandas_udf("double")
-    def row_score(texts: pd.Series) -> pd.Series:
-        x = np.array([text_statistics(t) for t in texts]).reshape(len(texts), len(STATISTICS))
-        return pd.Series(model.score(x))
+    def row_score(x: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.array(x.tolist()).reshape(len(x), len(STATISTICS))))
 
-    return docs.where(row_score(text_or_empty(text_col)) >= threshold)
+    return rows.where(row_score(name) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.5, **options) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every document; held-out rows' labels are never read."""
-    stats, model = train_model(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, **options)
-    scored = score(stats, model)
+    stats = stage(statistics(docs, id_col, text_col), "quality-stats")
+    scored = score(stats, train_model(stats, labels, label_col=label_col, **options))
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -66,6 +66,40 @@ def test_packed_result(steps):
     assert Counter(r["doc_id"] for r in rows if r["piece"] == 0) == copies
 
 
+@pytest.fixture(scope="module")
+def strange(spark):
+    """Null, repeated and missing ids, null and empty texts, one very long text, repeated rows, clashing column names."""
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in table(spark, SF, "documents").orderBy("doc_id").limit(60).collect()]
+    rows += [(None, rows[k][1], None, None, None) for k in range(5)] + [rows[7]] * 3 + [(1000, None, "en", "x", 0), (1001, "", "en", None, 0), (1002, " ".join(f"w{k % 5000}" for k in range(60_000)), "en", "x", None)]
+    extra = ", row long, size int, score double, spans string, digest string"
+    return spark.createDataFrame([(*r, k, 1, 0.5, "s", "d") for k, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long" + extra)
+
+
+def test_every_stage_takes_strange_rows(spark, strange):
+    docs = stage(strange, "strange")
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        out = stage(function(spark, docs, SF), name)
+        assert out.columns == docs.columns, name
+        ids = Counter(r["doc_id"] for r in out.collect())
+        if name == "near_dedup":
+            assert all(n == 1 for i, n in ids.items() if i is not None)
+            assert ids[None] == docs.where("doc_id is null").count()
+        elif name == "secret_redaction":
+            assert ids == Counter(r["doc_id"] for r in docs.collect())
+        elif name == "source_mix":
+            rows = Counter(r["row"] for r in out.collect())
+            assert max(rows.values()) <= 3 and set(rows) <= {r["row"] for r in docs.collect()}
+        docs = out
+    name, function = corpus_pipeline.STAGES[-1]
+    checked_packing(function(spark, docs, SF).collect(), 2048)
+
+
+def test_every_stage_takes_an_empty_table(spark, strange):
+    docs = strange.where("false")
+    for name, function in corpus_pipeline.STAGES:
+        assert function(spark, docs, SF).count() == 0, name
+
+
 def test_registered():
     assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 11)]
 
