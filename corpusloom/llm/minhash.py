@@ -164,11 +164,15 @@ def _full_sets(base: DataFrame, groups: DataFrame, sigs: DataFrame, width: int)
     return stage(named.select("rep", "n", "sig", "grams"), "mh-sets")
 
 
-def _tiles(rows: DataFrame, tile_rows: int) -> DataFrame:
-    """``centre, step, chunk, parts, sizes, grams`` of ``centre, component, n, grams``: tiles of sets of similar size."""
+def _tiles(rows: DataFrame, tile_rows: int, tile_grams: int) -> DataFrame:
+    """``centre, step, chunk, parts, sizes, grams`` of ``centre, component, n, grams``: tiles of sets of similar size, of
+    bounded rows and elements (a larger set is a tile of its own)."""
     stepped = rows.withColumn("step", F.floor(F.log("n") / float(np.log(1.1))).cast("int"))
-    chunks = stepped.groupBy("centre", "step").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("chunks"))
+    needed = F.greatest(F.ceil(F.count("*") / tile_rows), F.ceil(F.sum("n") / tile_grams)).cast("int")
+    # Written, so that the join may split a centre with very many sets; then dealt out by chunk too.
+    chunks = stage(stepped.groupBy("centre", "step").agg(needed.alias("chunks")), "mh-chunks")
     placed = stepped.join(chunks, ["centre", "step"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
+    placed = placed.select("centre", "step", "chunk", "component", "n", "grams").repartition("centre", "step", "chunk")
 
     def blob(group: pd.DataFrame) -> pd.DataFrame:
         first = group.iloc[:1]
@@ -176,7 +180,7 @@ def _tiles(rows: DataFrame, tile_rows: int) -> DataFrame:
         return pd.DataFrame({"centre": first["centre"], "step": first["step"], "chunk": first["chunk"], **{k: [v] for k, v in packed.items()}})
 
     schema = "centre long, step int, chunk long, parts binary, sizes binary, grams binary"
-    return placed.select("centre", "step", "chunk", "component", "n", "grams").groupBy("centre", "step", "chunk").applyInPandas(blob, schema)
+    return placed.groupBy("centre", "step", "chunk").applyInPandas(blob, schema)
 
 
 def common_counts(grams_x: np.ndarray, sizes_x: np.ndarray, grams_y: np.ndarray, sizes_y: np.ndarray, columns: int = 1 << 13) -> np.ndarray:
@@ -254,11 +258,11 @@ def _group_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stage(rows.groupBy("centre").applyInPandas(settle, "a long, b long"), "mh-links")
 
 
-def _block_links(asked: DataFrame, members: DataFrame, percent: int, tile_rows: int) -> DataFrame:
+def _block_links(asked: DataFrame, members: DataFrame, percent: int, tile_rows: int, tile_grams: int) -> DataFrame:
     """Links (a, b) between components, from comparing each group's ``asked`` with its ``members``, both
     ``centre, rep, component, n, grams``, tile by tile.  A task returns a spanning forest of each tile pair's
     components, not its pairs."""
-    side = lambda rows, name: _tiles(rows, tile_rows).select("centre", *[F.col(c).alias(f"{name}_{c}") for c in ("step", "parts", "sizes", "grams")])
+    side = lambda rows, name: _tiles(rows, tile_rows, tile_grams).select("centre", *[F.col(c).alias(f"{name}_{c}") for c in ("step", "parts", "sizes", "grams")])
     near = int(np.ceil(np.log(100 / percent) / np.log(1.1))) + 1
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -277,7 +281,7 @@ def _block_links(asked: DataFrame, members: DataFrame, percent: int, tile_rows:
     return stage(work.mapInPandas(compare, "a long, b long").where("a != b"), "mh-block-links")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, group_grams: int = 1 << 18, tile_rows: int = 128) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, group_grams: int = 1 << 18, tile_rows: int = 128, tile_grams: int = 1 << 19) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row; ids are integers."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     signed = stage(signatures(base, width), "mh-signed")
@@ -314,7 +318,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     by_part = open_.groupBy("centre", "component").agg(F.count("*").alias("members"))
     unsettled = by_part.groupBy("centre").agg(F.count("*").alias("parts"), F.max(F.struct("members", "component"))["component"].alias("main")).where("parts > 1")
     crowd = open_.join(unsettled.select("centre", "main"), "centre").join(sets.select("rep", "grams"), "rep")
-    more = _block_links(crowd.where("component != main"), crowd, percent, tile_rows)
+    more = _block_links(crowd.where("component != main"), crowd, percent, tile_rows, tile_grams)
     upper = connected_components(more)
     final = (
         parts.join(upper.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
@@ -337,6 +341,7 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     document, so of rows that repeat an id one stays; rows without an id all stay."""
     kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     row = docs.select(F.col(id_col).alias("row_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    stays = row.join(kept, F.col("row_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    stays = row.join(kept, F.col("row_id") == F.col("kept_id"), "left_semi")
     place = F.row_number().over(Window.partitionBy("row_id").orderBy(F.xxhash64("row")))
-    return stays.withColumn("place", place).where("place = 1 or row_id is null").select("row.*")
+    named = stays.withColumn("place", place).where("place = 1").select("row.*")
+    return named.unionByName(row.where("row_id is null").select("row.*"))
