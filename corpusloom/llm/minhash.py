@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, text_or_empty
+from .common import LOWER, UPPER, stage, text_or_empty
 from .components import connected_components, spanning_forest
 
 BANDS, ROWS = 40, 5
@@ -305,7 +305,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     groups = stage(groups.select("centre", "rep", "n", "m").distinct(), "mh-groups")
     sets = _full_sets(base, groups, sigs.select("rep", "n", "sig"), width)
     ordered = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-    totals = groups.groupBy("centre").agg(F.sum("n").alias("grams"))
+    # Written, so that the join is free to split a centre with very many members.
+    totals = stage(groups.groupBy("centre").agg(F.sum("n").alias("grams")), "mh-totals")
     sized = groups.join(totals, "centre")
     links = _group_links(sized.where(F.col("grams") <= group_grams), sets, percent)
     large = stage(sized.where(F.col("grams") > group_grams), "mh-large")
@@ -345,3 +346,21 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     place = F.row_number().over(Window.partitionBy("row_id").orderBy(F.xxhash64("row")))
     named = stays.withColumn("place", place).where("place = 1").select("row.*")
     return named.unionByName(row.where("row_id is null").select("row.*"))
+
+
+def oracle(width: int, percent: int = 80) -> str:
+    """The same in DuckDB SQL for texts of ``width`` words or more: all pairs that share a shingle, and the least id
+    reachable."""
+    gram = " || ' ' || ".join(f"w[i{f' + {k}' if k else ''}]" for k in range(width))
+    return rf"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {width} THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - {width - 2}), lambda i: {gram})) END AS g FROM words),
+sized AS (SELECT doc_id, len(g) AS n FROM sets),
+rows AS (SELECT doc_id, len(g) AS n, unnest(g) AS gram FROM sets),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS n, any_value(y.n) AS m, count(*) AS common FROM rows x JOIN rows y ON x.gram = y.gram AND x.doc_id != y.doc_id
+    AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs WHERE 100 * common >= {percent} * (n + m - common)),
+reach AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT links.a, root FROM reach JOIN links ON links.b = reach.doc_id),
+least_ AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id, component_id = doc_id AS kept FROM sized JOIN least_ USING (doc_id)"""

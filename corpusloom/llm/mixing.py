@@ -170,3 +170,15 @@ def take(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     mixed = mixed.select("row", F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).cast("int").alias("mixed_copies")).where("mixed_copies > 0")
     rows = numbered.select(F.col(number).alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"))
     return rows.join(mixed, "row").select("kept", F.explode(F.array_repeat(F.lit(1), F.col("mixed_copies")))).select("kept.*")
+
+
+def oracle(weights: Sequence[float] = (5, 2, 1), max_copies: int = 3) -> str:
+    """Sizes and targets in DuckDB SQL: of the sources in order of their cap by weight, those below the common level are full."""
+    listed = ", ".join(str(float(w)) for w in weights)
+    return rf"""
+WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [{listed}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(weights)} + 1] AS weight FROM sized GROUP BY 1),
+levels AS (SELECT *, {max_copies} * source_size / weight AS ratio, (sum(source_size) OVER () - coalesce(sum({max_copies} * source_size) OVER before, 0)) / sum(weight) OVER after AS level FROM sources
+    WINDOW before AS (ORDER BY {max_copies} * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), after AS (ORDER BY {max_copies} * source_size / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+targets AS (SELECT source, source_size, CASE WHEN ratio <= level THEN CAST({max_copies} * source_size AS DOUBLE) ELSE weight * max(CASE WHEN ratio > level THEN level END) OVER () END AS target FROM levels)
+SELECT doc_id, size, source_size, round(target, 3) AS target FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import embedding_dedup, fingerprint, license_scan, minhash, mixing, packing, quality, secrets, suffix_dedup, url_filter
 from .common import table
@@ -50,9 +51,28 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+# What SQL can say of three operators, as queries of their own: their columns without the method's part.
+
+
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_mix(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_fingerprint(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_near_dedup, op3_quality, op4_mix, op5_pack, op6_license_scan, op7_suffix_dedup, op8_embedding_dedup, op9_fingerprint, op10_url_filter)}
+    dealt = (op1_secret_scan, op2_near_dedup, op3_quality, op4_mix, op5_pack, op6_license_scan, op7_suffix_dedup, op8_embedding_dedup, op9_fingerprint, op10_url_filter)
+    return {f.__name__: f for f in (*dealt, secret_base_spans, mix_targets, edited_texts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_embedding_dedup": embedding_dedup.oracle(), "op10_url_filter": url_filter.oracle()}
+    return {
+        "op2_near_dedup": minhash.oracle(2), "op7_suffix_dedup": suffix_dedup.oracle(), "op8_embedding_dedup": embedding_dedup.oracle(), "op10_url_filter": url_filter.oracle(),
+        "secret_base_spans": secrets.oracle(), "mix_targets": mixing.oracle(), "edited_texts": fingerprint.oracle(),
+    }

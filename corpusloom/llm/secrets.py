@@ -261,3 +261,20 @@ def redact(docs: DataFrame, *, mark: str = "[SECRET]", text_col: str = "text", i
     return found.select("doc_id", new.alias("new_text")).select(
         *[F.col("new_text").alias(text_col) if c == text_col else F.col("doc_id")[c].alias(c) for c in docs.columns]
     )
+
+
+def oracle(min_value: int = 12) -> str:
+    """The base spans in DuckDB SQL: matches and the text between them add up to the positions."""
+    assign = r"(?:password|passwd|secret|token|api_?key)"
+    patterns = ((rf"""(?i:{assign})["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+"""), ACCESS, HEX)
+    value = rf"""regexp_extract(m, '(?i:{assign})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1)"""
+    found = " UNION ALL ".join(f"SELECT doc_id, {k} AS k, t, regexp_extract_all(t, '{p}') AS ms, regexp_split_to_array(t, '{p}') AS gaps FROM texts" for k, p in enumerate(patterns))
+    return rf"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({found}),
+rows AS (SELECT doc_id, k, unnest(ms) AS m, unnest(gaps[1:len(ms)]) AS gap, unnest(range(len(ms))) AS i FROM found WHERE len(ms) > 0),
+placed AS (SELECT doc_id, k, m, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, k ORDER BY i) AS e FROM rows),
+spans AS (SELECT doc_id, k, e - length(m) AS s, e FROM placed WHERE k != 0 OR length({value}) >= {min_value}),
+joined AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+    string_agg(['assign', 'access', 'hex'][k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans FROM spans GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256 FROM texts LEFT JOIN joined USING (doc_id)"""

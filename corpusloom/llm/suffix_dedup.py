@@ -346,3 +346,20 @@ def _batched(fn, rows: int = 20_000):
             yield pd.concat(held, ignore_index=True)
 
     return run
+
+
+def oracle(length: int = LENGTH) -> str:
+    """The same in DuckDB SQL, over hexadecimal bytes: every window of every text is grouped with its equals."""
+    return rf"""
+WITH bodies AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+windows AS MATERIALIZED (SELECT doc_id, p, md5(substr(x, CAST(2 * p + 1 AS BIGINT), {2 * length})) AS m FROM (SELECT doc_id, x, unnest(range(len(x) // 2 - {length} + 1)) AS p FROM bodies WHERE len(x) // 2 >= {length})),
+twice AS (SELECT m FROM windows GROUP BY 1 HAVING count(*) > 1),
+hits AS (SELECT doc_id, p FROM windows SEMI JOIN twice USING (m)),
+begun AS (SELECT doc_id, p, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + {length} OR lag(p) OVER (PARTITION BY doc_id ORDER BY p) IS NULL THEN 1 ELSE 0 END AS fresh FROM hits),
+numbered AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM begun),
+runs AS (SELECT doc_id, run, min(p) AS a, max(p) + {length} AS b FROM numbered GROUP BY 1, 2),
+gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS after FROM runs),
+cut AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS n, string_agg(a || ':' || b, ',' ORDER BY a) AS spans, string_agg(substr(x, CAST(2 * after + 1 AS BIGINT), CAST(2 * (a - after) AS BIGINT)), '' ORDER BY a) AS head,
+    any_value(substr(x, CAST(2 * last_b + 1 AS BIGINT))) AS tail FROM gaps JOIN bodies USING (doc_id) JOIN (SELECT doc_id, max(b) AS last_b FROM runs GROUP BY 1) USING (doc_id) GROUP BY 1)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+    sha256(unhex(CASE WHEN n IS NULL THEN x ELSE head || tail END)) AS kept_sha256, coalesce(spans, '') AS spans FROM bodies LEFT JOIN cut USING (doc_id)"""
