@@ -288,7 +288,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     # Written first, so that the joins below are free to split a digest with very many copies.
     classes = stage(classes, "mh-classes")
-    named = stage(signed.select("doc_id", "digest").join(classes.select("digest", "rep"), "digest"), "mh-members")
     # A representative's own row (one of them, if its id is repeated) carries the class's signature.
     reps = signed.withColumnRenamed("doc_id", "rep").join(classes, ["digest", "rep"]).dropDuplicates(["digest", "rep"])
     sigs = stage(reps.select("rep", "copies", F.col("n_shingles").alias("n"), "sig", "bands"), "mh-sigs")
@@ -311,7 +310,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = _group_links(sized.where(F.col("grams") <= group_grams), sets, percent)
     large = stage(sized.where(F.col("grams") > group_grams), "mh-large")
     if large.isEmpty():
-        return _labelled(signed, named, connected_components(links))
+        return _labelled(signed, classes, connected_components(links))
     first = large.where("rep != centre").where(_possible("n", "m", percent)).select(*ordered("rep", "centre")).distinct()
     parts = connected_components(links.unionByName(_verify(first, sets, percent)))
     known = sets.select("rep").join(parts, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("component"))
@@ -326,13 +325,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         .select("node", F.coalesce("top", "component").alias("component")).unionByName(upper)
         .groupBy("node").agg(F.min("component").alias("component"))
     )
-    return _labelled(signed, named, final)
-
-
-def _labelled(signed: DataFrame, named: DataFrame, parts: DataFrame) -> DataFrame:
-    owner = named.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "rep").alias("component"))
-    owner = owner.groupBy("id").agg(F.min("component").alias("component"))
-    out = signed.select("doc_id", "n_shingles").join(owner, F.col("doc_id") == F.col("id"), "left")
+    return _labelled(signed, classes, final)
+
+
+def _labelled(signed: DataFrame, classes: DataFrame, parts: DataFrame) -> DataFrame:
+    # Classes are labelled before their documents, so that copies meet in one join only; written, so that it may split them.
+    labelled = classes.join(parts, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    labelled = stage(labelled, "mh-labelled")
+    rows = signed.where("doc_id is not null").select(F.col("doc_id").alias("id"), "digest").join(labelled, "digest").select("id", "component")
+    owner = stage(rows.groupBy("id").agg(F.min("component").alias("component"), F.max("component").alias("other")), "mh-owners")
+    several = owner.where("component != other").select("id", F.col("component").alias("a"))
+    if not several.isEmpty():
+        # Rows that repeat an id with another text: their components are one.
+        merged = connected_components(stage(rows.join(several, "id").select("a", F.col("component").alias("b")).where("a != b").distinct(), "mh-merged"))
+        merged = merged.select(F.col("node").alias("component"), F.col("component").alias("top"))
+        owner = owner.join(merged, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+    out = signed.select("doc_id", "n_shingles").join(owner.select("id", "component"), F.col("doc_id") == F.col("id"), "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 

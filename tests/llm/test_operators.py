@@ -241,6 +241,15 @@ def test_near_duplicates_on_tables(spark):
     assert [got[i] for i, _ in rows] == [rows[w][0] for w in want]
 
 
+def test_near_duplicates_of_a_repeated_id(spark):
+    """An id with two texts joins the groups of both."""
+    one, two = "a b c d e f g h", "q r s t u v w x"
+    rows = [(3, one), (5, one), (5, two), (7, two), (7, two), (9, "alone in this"), (None, one), (None, two)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()
+    assert sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in got if r["doc_id"] is not None)) == [(3, 3, True), (5, 3, False), (5, 3, False), (7, 3, False), (7, 3, False), (9, 9, True)]
+    assert [r["component_id"] for r in got if r["doc_id"] is None] == [None, None]
+
+
 def test_near_duplicates_of_odd_rows(spark, odd, empty):
     got = [(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(odd, width=2).collect()]
     assert Counter(got) == Counter([(1, 1, True), (2, 2, True), (3, 3, True), (4, 3, False), (5, 3, False), (6, 6, True), (7, 7, True), (8, 8, True), (8, 8, True), (None, None, True)])
