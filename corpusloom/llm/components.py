@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
-Both steps only look at a node's smallest neighbour, which is a grouped minimum joined back to the edges, so a node
-with very many neighbours is a skewed join that can be split, never a collected group.
+Both steps only look at a node's smallest neighbour, which is a grouped minimum joined back to the edges.  The minima are
+written down first: Spark splits a skewed join only where both sides come straight from a shuffle, and sends the minima to
+all tasks instead where they measure small, so a node with very many neighbours is never one task's work.
 """
 
 from __future__ import annotations
@@ -33,13 +34,14 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the least of the node and its neighbours."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = stage(least, "least")
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the least of those."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = stage(down.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -53,7 +55,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     current = stage(edges.select("a", "b").where("a != b").distinct(), "edges")
     mark = None
     for _ in range(max_rounds):
-        current = stage(_small_star(_large_star(current)), "edges")
+        current = stage(_small_star(stage(_large_star(current), "edges")), "edges")
         seen = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
         if mark == (seen["n"], seen["h"]):
             break
