@@ -99,10 +99,26 @@ def index_of(postings: DataFrame, ids: DataFrame, stemmed: bool) -> LexicalIndex
 
 
 def _derived(postings: DataFrame, lengths: DataFrame, stemmed: bool) -> LexicalIndex:
-    corpus = lengths.agg(F.count("*").alias("chunks"), F.avg("n").alias("avg_len"))
-    df = postings.groupBy("term").agg(F.count("*").alias("n_docs"))
-    terms = df.crossJoin(F.broadcast(corpus)).select("term", "n_docs", _idf(F.col("chunks"), F.col("n_docs")).alias("idf"))
-    return LexicalIndex(postings, lengths, terms, corpus, stemmed)
+    corpus = corpus_row(lengths)
+    return LexicalIndex(postings, lengths, with_idf(postings.groupBy("term").agg(F.count("*").alias("n_docs")), corpus), corpus, stemmed)
+
+
+def corpus_row(lengths: DataFrame) -> DataFrame:
+    return lengths.agg(F.count("*").alias("chunks"), F.avg("n").alias("avg_len"))
+
+
+def with_idf(terms: DataFrame, corpus: DataFrame) -> DataFrame:
+    """``term, n_docs`` with the idf that the one row of ``corpus`` gives them."""
+    return terms.crossJoin(F.broadcast(corpus)).select("term", "n_docs", _idf(F.col("chunks"), F.col("n_docs")).alias("idf"))
+
+
+def changed_terms(terms: DataFrame, postings: DataFrame, dropped: DataFrame, fresh: DataFrame) -> DataFrame:
+    """``term, n_docs`` after the chunks ``dropped`` left an index and the postings ``fresh`` came: of the postings of the
+    index only those of dropped chunks are counted."""
+    count = lambda rows, sign: rows.groupBy("term").agg((F.lit(sign) * F.count("*")).alias("n_docs"))
+    less = count(postings.select("chunk_id", "term").join(dropped.select("chunk_id"), "chunk_id", "left_semi"), -1)
+    parts = terms.select("term", "n_docs").unionByName(less).unionByName(count(fresh, 1))
+    return parts.groupBy("term").agg(F.sum("n_docs").alias("n_docs")).where("n_docs > 0")
 
 
 def query_items(queries: DataFrame, *, id_col: str = "query_id", text_col: str = "question", stem: bool = False) -> DataFrame:

@@ -42,9 +42,9 @@ class IndexReport:
 def build(spark: SparkSession, store: IndexStore, documents: DataFrame, embedder: Embedder | None, *, rebuild: bool = False, dry_run: bool = False, max_chars: int = chunking.MAX_CHARS) -> IndexReport:
     """Brings the index to the state of ``documents`` and publishes it as one snapshot.
 
-    Unchanged documents are neither chunked nor embedded again; vectors are made for every chunk that has none of the
-    embedder's signature, whatever the reason, and dropped with their chunks.  ``dry_run`` writes nothing, also with
-    ``rebuild``.
+    Unchanged documents are neither chunked nor embedded again, nor are their rows written, but when segments are merged;
+    vectors are made for every chunk that has none of the embedder's signature, whatever the reason, and dropped with
+    their chunks.  A run that finds nothing to do publishes nothing; ``dry_run`` writes nothing, also with ``rebuild``.
     """
     current = None if rebuild else store.current()
     documents = documents.dropDuplicates(["doc_id"])
@@ -57,39 +57,38 @@ def build(spark: SparkSession, store: IndexStore, documents: DataFrame, embedder
         return IndexReport(**report)
 
     todo = ingest.work(plan)
-    gone = plan.where(F.col("status") != "unchanged").select("doc_id")
+    gone = plan.where(F.col("status").isin("changed", "removed")).select("doc_id")
     made = chunking.chunks(documents.join(F.broadcast(todo) if report["added"] + report["changed"] < 100_000 else todo, "doc_id", "left_semi"), max_chars=max_chars)
     made = stage(made, "index-chunks")
     stamp = F.lit(datetime.now(UTC).replace(tzinfo=None, microsecond=0)).cast("timestamp")
     sizes = made.groupBy("doc_id").agg(F.count("*").cast("int").alias("chunk_count"))
     new_docs = documents.join(todo, "doc_id", "left_semi").join(sizes, "doc_id", "left").select("doc_id", "rel", "content_hash", "trust", "size", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), stamp.alias("indexed_at"))
-    fresh = ranking.build_index(made.withColumn("headings", F.array_join("heading_path", " / ")), headings_col="headings", stem=True, positions=True).postings
+    fresh = ranking.build_index(made.withColumn("headings", F.array_join("heading_path", " / ")), headings_col="headings", stem=True, positions=True, staged=True)
+    chunks, terms, corpus, lost = made, fresh.terms, fresh.corpus, 0
     if current:
-        docs = ingest.replace_documents(known, new_docs, gone)
         stay, dropped = ingest.drop_documents(current.table("chunks"), gone)
-        chunks, kept = stay.unionByName(made), stay.select("chunk_id")
-        postings = current.table("postings").join(kept, "chunk_id", "left_semi").unionByName(fresh)
-    else:
-        docs, chunks, postings, dropped = new_docs, made, fresh, None
-    lexical = ranking.index_of(postings, chunks.select("chunk_id"), True)
-
-    empty = spark.createDataFrame([], VECTOR_SCHEMA)
-    embedded, signature = 0, ""
-    old = empty
-    if embedder is not None:
-        signature = embedder.signature
-        if current and current.signature == signature and current.vectors_sound(embedder.dim):
+        dropped = stage(dropped, "index-dropped")
+        lost, chunks = dropped.count(), stay.unionByName(made)
+        corpus = ranking.corpus_row(current.table("lengths").join(dropped, "chunk_id", "left_anti").unionByName(fresh.lengths))
+        terms = ranking.with_idf(ranking.changed_terms(current.table("terms"), current.table("postings"), dropped, fresh.postings), corpus)
+
+    signature, embedded, renewed = embedder.signature if embedder else "", 0, ()
+    table = old = spark.createDataFrame([], VECTOR_SCHEMA)
+    if current:
+        if current.signature == signature and (embedder is None or current.vectors_sound(embedder.dim)):
             # A chunk id says where a chunk is, not what it says: of changed documents no vector is kept.
-            old = current.table("vectors").where(F.col("signature") == signature).join(kept, "chunk_id", "left_semi")
+            old = current.table("vectors").where(F.col("signature") == signature).join(dropped, "chunk_id", "left_anti")
+        else:
+            renewed = ("vectors",)
+    if embedder is not None:
         missing = chunks.join(old.select("chunk_id"), "chunk_id", "left_anti").select("chunk_id", "text")
         fresh_vectors = embedder.encode(missing, "chunk_id", "text").select(F.col("id").alias("chunk_id"), "embedding", F.lit(signature).alias("signature"))
-        table = vectors.check(old.unionByName(fresh_vectors), embedder.dim)
-        embedded = missing.count()
-    else:
-        table = empty
-    written, lost = made.count(), dropped.count() if dropped is not None else 0
-    tables = {"documents": docs, "chunks": chunks, "postings": lexical.postings, "lengths": lexical.lengths, "terms": lexical.terms, "corpus": lexical.corpus, "vectors": table}
-    store.publish(tables, embedder_signature=signature, stemmed=True)
+        table, embedded = vectors.check(fresh_vectors, embedder.dim), missing.count()
+    written = made.count()
+    if current is None or renewed or embedded or report["added"] + report["changed"] + report["removed"]:
+        rows = {"documents": new_docs, "chunks": made, "postings": fresh.postings, "lengths": fresh.lengths, "vectors": table}
+        left = {"doc_id": gone, "chunk_id": dropped} if current and report["changed"] + report["removed"] else None
+        store.publish(rows, {"terms": terms, "corpus": corpus}, size=written, base=current, gone=left, renewed=renewed, embedder_signature=signature, stemmed=True)
     return IndexReport(**report, chunks_written=written, chunks_dropped=lost, embedded=embedded, signature=signature)
 
 
@@ -185,7 +184,7 @@ def evaluate(retriever: Retriever, questions: DataFrame, targets: DataFrame, *,
     for mode in usable:
         lane = retriever.ranked(mode, questions, k).withColumn("retriever", F.lit(mode))
         lanes = lane if lanes is None else lanes.unionByName(lane)
-    lanes = lanes.cache()
+    lanes = stage(lanes, "lanes")
     ranked = lanes.join(chunks.select("chunk_id", "doc_rel", "section_ref", "heading_path", "citation"), "chunk_id")
     modes_df = spark.createDataFrame([(m,) for m in usable], "retriever string")
     rows = evaluation.outcomes(ranked, targets, questions, modes_df)
@@ -197,9 +196,7 @@ def evaluate(retriever: Retriever, questions: DataFrame, targets: DataFrame, *,
     names = [f.split()[0] for f in OUTCOME_SCHEMA.split(", ")]
     full = full.select(*[F.coalesce(n, none).alias(n) if n in ("ranked", "citations", "targets") else F.col(n) for n in names])
     # Written down at once: a run is what was measured, not a plan to measure it again.
-    done = spark.createDataFrame(full.collect(), OUTCOME_SCHEMA)
-    lanes.unpersist()
-    return EvalRun(done, k, profile, retriever.snapshot.signature, chunks.count(), "", datetime.now(UTC).isoformat(timespec="seconds"))
+    return EvalRun(stage(full, "outcomes"), k, profile, retriever.snapshot.signature, chunks.count(), "", datetime.now(UTC).isoformat(timespec="seconds"))
 
 
 def render_run(run: EvalRun) -> str:

@@ -148,6 +148,35 @@ def test_index_life_cycle(spark, corpus):
     assert engine.build(spark, store, documents(), embedder, rebuild=True, dry_run=True).added == 2 and store.current().signature == "hashing:32"
 
 
+def test_segments_equal_a_rebuilt_index(spark, tmp_path):
+    """Runs that add, change, drop and bring back documents leave what one run over the last state writes."""
+    store, fresh = IndexStore(spark, str(tmp_path / "ix")), IndexStore(spark, str(tmp_path / "fresh"))
+    embedder = HashingEmbedder(16)
+
+    def documents(texts):
+        rows = [(f"d{k:02}", f"d{k:02}.md", t, str(hash(t)), "unknown", len(t)) for k, t in texts.items()]
+        return spark.createDataFrame(rows, "doc_id string, rel string, text string, content_hash string, trust string, size long")
+
+    first = {k: f"# Part {k}\n\n{LONG} It is number {k} of {k * k}." for k in range(40)}
+    changed = {k: t.replace("compass", "sextant") if k == 3 else t for k, t in first.items() if k != 5}
+    states = [first, first | {99: f"# New\n\n{LONG}"}, changed, changed | {5: first[5]}]
+    segments = []
+    for texts in states:
+        engine.build(spark, store, documents(texts), embedder)
+        segments.append([n for n, _ in store.current().meta["segments"]])
+    assert segments == [[1], [1, 2], [1, 3], [1, 4]]  # a small segment goes into the next, the large one stays
+    number = store.current().meta["snapshot"]
+    assert engine.build(spark, store, documents(states[-1]), embedder).unchanged == 40 and store.current().meta["snapshot"] == number
+    engine.build(spark, fresh, documents(states[-1]), embedder)
+    both = store.current(), fresh.current()
+    for name in ("documents", "chunks", "postings", "lengths", "terms", "corpus", "vectors"):
+        got, want = (sorted(map(str, s.table(name).drop("indexed_at").toPandas().to_dict("records"))) for s in both)
+        assert got == want, name
+    assert sorted(p.name for p in (tmp_path / "ix").iterdir() if p.is_dir()) == [f"snapshot={n}" for n in (1, 3, 4)]
+    engine.build(spark, store, documents(states[-1]), None)
+    assert len(store.current().meta["segments"]) == 1 and store.current().table("vectors").isEmpty() and store.current().table("chunks").count() == 40
+
+
 def test_command_line(spark, corpus, capsys):
     (corpus / "config.yaml").write_text(CONFIG.format(dim=64))
     (corpus / "questions.yaml").write_text("- {id: dev, question: deviation table of a vessel, relevant: [{doc: map.md, section: '5.3'}]}")
