@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, fingerprint, license_scan, minhash, mixing, packing, quality, secrets, suffix_dedup, url_filter
+from . import embedding_dedup, filter_audit, fingerprint, language_id, license_scan, minhash, mixing, packing, quality, secrets, suffix_dedup, url_filter
 from .common import table
 
 
@@ -51,6 +51,14 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 # What SQL can say of three operators, as queries of their own: their columns without the method's part.
 
 
@@ -67,12 +75,16 @@ def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    dealt = (op1_secret_scan, op2_near_dedup, op3_quality, op4_mix, op5_pack, op6_license_scan, op7_suffix_dedup, op8_embedding_dedup, op9_fingerprint, op10_url_filter)
+    dealt = (
+        op1_secret_scan, op2_near_dedup, op3_quality, op4_mix, op5_pack, op6_license_scan, op7_suffix_dedup, op8_embedding_dedup, op9_fingerprint, op10_url_filter,
+        op11_filter_audit, op12_language_id,
+    )
     return {f.__name__: f for f in (*dealt, secret_base_spans, mix_targets, edited_texts)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_near_dedup": minhash.oracle(2), "op7_suffix_dedup": suffix_dedup.oracle(), "op8_embedding_dedup": embedding_dedup.oracle(), "op10_url_filter": url_filter.oracle(),
+        "op11_filter_audit": filter_audit.oracle(), "op12_language_id": language_id.oracle(),
         "secret_base_spans": secrets.oracle(), "mix_targets": mixing.oracle(), "edited_texts": fingerprint.oracle(),
     }
