@@ -1,14 +1,15 @@
 """How document filters interact: what each removes, alone and after others, in every order of application.
 
 Words are exploded into rows and aggregated by (document, word), then by document, for totals and distinct words.  Flags
-that need no words (capitals, symbols, repeats of a text) are found beside the scan and outer-joined, since a document
+that need no words (capitals, symbols, repeats of a text) are found beside them and outer-joined, since a document
 without words has no word rows.  The set of filters that a document fails is a number below 32; per part, 32 conditional
 counts (of documents, of good and of toxic ones) hold all that the orders ask for, so the 120 orders are sums over those
 counts and read no documents.
 
-No text is shuffled.  A document is the pair of its id and a 64-bit hash of its text, so rows that repeat an id with other texts
-stay apart.  A text that a third of the rows share meets no join by text: the first id of each text comes from a partial
-aggregation, and rows look themselves up by (id, text), of which equal rows are counted together first.
+A document is the triple of its id, a 64-bit hash of its text and its part; rows that repeat one are counted together.  Texts are
+shuffled once, by document and after equal rows have met in their tasks; both aggregations of words then need no shuffle,
+which would be of some three times the bytes of the texts.  A text that a third of the rows share meets no join by text: its first
+id comes from a partial aggregation, and rows look themselves up by (id, text), of which no pair is hot.
 
 Edge cases: a null text is empty; an empty text fails A, not B, C or D, and E if a smaller id's text is empty too.  A
 null language is the part ''.  Rows that repeat an id and text are judged alike and each counted; none of them is smaller
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 from itertools import permutations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
@@ -34,42 +35,45 @@ MEASURES = ("docs", "good", "toxic")
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
+DOCUMENT = ("doc_id", "key", "part")
+
+
 def word_facts(documents: DataFrame) -> DataFrame:
-    """``doc_id, key, words, distinct`` of documents with words, from ``doc_id, key, text``; equal rows add up in ``words``."""
-    words = documents.select("doc_id", "key", F.explode(F.split("text", BLANKS)).alias("word")).where("word != ''")
-    by_word = words.groupBy("doc_id", "key", "word").agg(F.count("*").alias("n"))
-    return by_word.groupBy("doc_id", "key").agg(F.sum("n").alias("words"), F.count("*").alias("distinct"))
+    """``doc_id, key, part, words, distinct`` of documents with words, from ``doc_id, key, part, text``."""
+    once = documents.groupBy(*DOCUMENT).agg(F.any_value("text").alias("text"))
+    words = once.select(*DOCUMENT, F.explode(F.split("text", BLANKS)).alias("word")).where("word != ''")
+    by_word = words.groupBy(*DOCUMENT, "word").agg(F.count("*").alias("n"))
+    return by_word.groupBy(*DOCUMENT).agg(F.sum("n").alias("words"), F.count("*").alias("distinct"))
 
 
 def failures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang") -> DataFrame:
-    """``doc_id, key, parts, mask`` for each distinct (id, text): ``parts`` lists (part, number of rows); bit ``i`` of
-    ``mask`` is set if it fails the ``i``-th filter."""
+    """``doc_id, key, part, copies, mask`` for each document, which ``copies`` rows repeat: bit ``i`` of ``mask`` is set if
+    it fails the ``i``-th filter."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), text_or_empty(text_col).alias("text"))
     documents = base.withColumn("key", F.xxhash64("text"))
     capitals = 100 * F.length(F.regexp_replace("text", "[^A-Z]+", "")) > MAX_CAPITALS * F.length("text")
-    seen = documents.select("doc_id", "key", F.sha2("text", 256).alias("digest"), capitals.alias("c"), F.col("text").rlike(SYMBOLS).alias("d"), "part")
-    per_part = seen.groupBy("doc_id", "key", "digest", "c", "d", "part").agg(F.count("*").alias("rows"))
-    flags = per_part.groupBy("doc_id", "key", "digest", "c", "d").agg(F.sum("rows").alias("copies"), F.collect_list(F.struct("part", "rows")).alias("parts"))
-    firsts = per_part.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "digest", F.lit(True).alias("first"))
-    facts = word_facts(documents).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "words", "distinct")
-    joined = flags.join(facts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "full_outer").join(firsts, ["doc_id", "digest"], "left")
-    # Equal rows have the words of all of them, so both sides are compared times their number.
+    seen = documents.select(*DOCUMENT, F.unhex(F.sha2("text", 256)).alias("digest"), capitals.alias("c"), F.col("text").rlike(SYMBOLS).alias("d"))
+    flags = seen.groupBy(*DOCUMENT, "digest", "c", "d").agg(F.count("*").alias("copies"))
+    firsts = seen.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "digest", F.lit(True).alias("first"))
+    facts = word_facts(documents).select(*[F.col(c).alias(f"of_{c}") for c in DOCUMENT], "words", "distinct")
+    same = F.col("doc_id").eqNullSafe(F.col("of_doc_id")) & (F.col("key") == F.col("of_key")) & (F.col("part") == F.col("of_part"))
+    joined = flags.join(facts, same, "left").join(firsts, ["doc_id", "digest"], "left")
     words, distinct = F.coalesce("words", F.lit(0)), F.coalesce("distinct", F.lit(0))
     failed = {
-        "A": words < MIN_WORDS * F.col("copies"), "B": 100 * distinct * F.col("copies") < MIN_DISTINCT * words, "C": F.col("c"), "D": F.col("d"),
+        "A": words < MIN_WORDS, "B": 100 * distinct < MIN_DISTINCT * words, "C": F.col("c"), "D": F.col("d"),
         "E": F.col("first").isNull() & F.col("doc_id").isNotNull(),
     }
     mask = sum((F.when(failed[f], 1 << i).otherwise(0) for i, f in enumerate(FILTERS)), F.lit(0))
-    return joined.select("doc_id", "key", "parts", mask.alias("mask"))
+    return joined.select(*DOCUMENT, "copies", mask.alias("mask"))
 
 
 def mask_counts(failed: DataFrame, labels: DataFrame) -> DataFrame:
     """``part, docs, good, toxic``: for each part three arrays of 32 numbers, at place ``m`` the documents whose set of failed
     filters is ``m``."""
     known = labels.groupBy(F.col("doc_id")).agg(F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("is_good"), F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("is_toxic"))
-    rows = failed.join(known, "doc_id", "left").select("mask", "is_good", "is_toxic", F.inline("parts").alias("part", "rows"))
+    rows = failed.join(known, "doc_id", "left").select("part", "copies", "mask", "is_good", "is_toxic")
     counted = {"docs": F.lit(True), "good": F.coalesce("is_good", F.lit(False)), "toxic": F.coalesce("is_toxic", F.lit(False))}
-    sums = [F.sum(F.when((F.col("mask") == m) & counted[name], F.col("rows")).otherwise(0)).alias(f"{name}_{m}") for name in MEASURES for m in range(MASKS)]
+    sums = [F.sum(F.when((F.col("mask") == m) & counted[name], F.col("copies")).otherwise(0)).alias(f"{name}_{m}") for name in MEASURES for m in range(MASKS)]
     per_part = rows.groupBy("part").agg(*sums)
     return per_part.select("part", *[F.array(*[F.col(f"{name}_{m}") for m in range(MASKS)]).alias(name) for name in MEASURES])
 
@@ -94,8 +98,8 @@ def orders(counts: DataFrame) -> DataFrame:
         _sum("docs", "m & bit > 0 AND m & before > 0").alias("redundant"), F.expr("docs[bit]").alias("unique_fails"),
         _sum("good", here).alias("good_lost"), _sum("toxic", here).alias("toxic_lost"),
     )
-    shapley = measured.groupBy("part", "letter").agg(F.sum("removed").alias("shapley"))
-    return measured.join(shapley, ["part", "letter"]).drop("letter")
+    # A window of 120 rows for each letter of a part: a join would count the documents a second time.
+    return measured.withColumn("shapley", F.sum("removed").over(Window.partitionBy("part", "letter"))).drop("letter")
 
 
 def audit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang") -> DataFrame:
