@@ -55,6 +55,18 @@ def stage(df: DataFrame, label: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def staged(df: DataFrame, label: str = "t") -> Iterator[DataFrame]:
+    """As ``stage``, for as long as the block runs; then the files go."""
+    path = os.path.join(shared_dir(df.sparkSession), f"{label}-{uuid.uuid4().hex}")
+    try:
+        with bounded_batches(df.sparkSession):
+            df.write.parquet(path)
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        discard(df.sparkSession, path)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove files of the shared folder that nothing reads any more."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
