@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from .functions import embed, identity, text
-from .operators import chunking, evaluation, ingest, ranking
+from .operators import chunking, evaluation, ingest, pruned, ranking
 from .plans import engine
 from .plans.store import IndexStore
 from .queries import (
@@ -53,6 +53,15 @@ def s06_updated_index(spark, sf_dir):
     return rows.select("chunk_id", "citation", F.md5("text").alias("text_md5"), F.col("n").cast("long").alias("n_tokens"), F.coalesce("has_vector", F.lit(False)).alias("has_vector"))
 
 
+@query(ORACLES["k01_bm25_topk"])
+def k01_bm25_pruned(spark, sf_dir):
+    """The same ranking from clustered postings, of which a search reads what can matter."""
+    corpus = _corpus(spark, sf_dir)
+    index = pruned.write_clustered(ranking.build_index(corpus, staged=True), f"{shared_dir(spark)}/clustered-{uuid.uuid4().hex}")
+    rows = pruned.pruned_search(index, _questions(spark, sf_dir), 10, weights=(1.0, 1.0))
+    return rows.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
 # ------------------------------------------------------------------ hybrid search
 
 QUERY_EMBED_SQL = EMBED_SQL.replace("doc_id AS id", "item_id AS id").replace("FROM documents", "FROM benchmark").replace("tok AS", "qtok AS").replace("FROM tok", "FROM qtok").replace("h AS", "qh AS").replace("FROM h ", "FROM qh ").replace("s AS (", "qs AS (")
