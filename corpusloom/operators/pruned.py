@@ -57,6 +57,7 @@ def length_class(n: Column) -> Column:
 def write_clustered(index: LexicalIndex, path: str, *, parts: int = PARTS) -> ClusteredIndex:
     """Writes ``index`` clustered under ``path``.  A part that one common term fills is split over several tasks."""
     spark = index.postings.sparkSession
+    kind = index.postings.schema["chunk_id"].dataType.simpleString()
     rows = index.postings.join(index.lengths, "chunk_id").select(term_part(F.col("term"), parts).alias("part"), "term", length_class(F.col("n")).alias("block"), "chunk_id", "tf_text", "tf_head", F.col("n").cast("long").alias("n"))
     by_part = lambda df, name: df.hint("rebalance", "part").sortWithinPartitions(*[c for c in (*POSTING, "chunk_id") if c in df.columns]).write.partitionBy("part").parquet(f"{path}/{name}")
     by_part(rows, "postings")
@@ -64,11 +65,17 @@ def write_clustered(index: LexicalIndex, path: str, *, parts: int = PARTS) -> Cl
     by_part(spark.read.schema(rows.schema).parquet(f"{path}/postings").groupBy(*POSTING).agg(*facts), "blocks")
     index.terms.write.parquet(f"{path}/terms")
     index.corpus.write.parquet(f"{path}/corpus")
-    return read_clustered(spark, path, parts=parts, stemmed=index.stemmed)
+    return read_clustered(spark, path, id_type=kind, parts=parts, stemmed=index.stemmed)
 
 
-def read_clustered(spark: SparkSession, path: str, *, parts: int = PARTS, stemmed: bool = False) -> ClusteredIndex:
-    return ClusteredIndex(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "blocks", "terms", "corpus")], parts=parts, stemmed=stemmed)
+def read_clustered(spark: SparkSession, path: str, *, id_type: str = "string", parts: int = PARTS, stemmed: bool = False) -> ClusteredIndex:
+    """The index under ``path``, whose chunk ids are of ``id_type``."""
+    kinds = {
+        "postings": f"term string, block int, chunk_id {id_type}, tf_text bigint, tf_head bigint, n bigint, part int",
+        "blocks": "term string, block int, rows bigint, max_text bigint, max_head bigint, min_n bigint, part int",
+        "terms": "term string, n_docs bigint, idf double", "corpus": "chunks bigint, avg_len double",
+    }
+    return ClusteredIndex(*[spark.read.schema(kind).parquet(f"{path}/{name}") for name, kind in kinds.items()], parts=parts, stemmed=stemmed)
 
 
 @dataclass(frozen=True)
