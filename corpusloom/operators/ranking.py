@@ -1,15 +1,12 @@
-"""Batched retrieval: BM25 over postings, exact cosine, reciprocal-rank fusion, trust order.
+"""Batched retrieval: BM25 over postings, reciprocal-rank fusion, trust order.
 
 Everything works on a frame of queries; one query is a batch of one row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -186,77 +183,6 @@ def lexical_search(index: LexicalIndex, queries: DataFrame, k: int = 20, **optio
     return top_k(bm25_scores(index, queries, **options), k)
 
 
-def _blocks(rows: DataFrame, prefix: str, block_rows: int) -> tuple[DataFrame, DataFrame]:
-    """``dim, block, ids, vectors``: unit vectors of about ``block_rows`` rows of one length as one blob of doubles; and
-    ``dim, blocks``, how many there are."""
-    kind = rows.schema["id"].dataType.simpleString()
-    usable = rows.where(F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False)) & ~F.coalesce(F.exists("v", lambda x: x.isNull() | F.isnan(x)), F.lit(False)))
-    sized = usable.withColumn("dim", F.size("v"))
-    counts = sized.groupBy("dim").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    # One row per length of vectors, of which there are a few; all rows have one of them, so they are dealt out by block.
-    placed = sized.join(F.broadcast(counts), "dim").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        v = np.array(group["v"].tolist(), dtype=np.float64)
-        v /= np.linalg.norm(v, axis=1, keepdims=True)
-        first = group.iloc[:1]
-        return pd.DataFrame({"dim": first["dim"], "block": first["block"], "ids": [group["id"].tolist()], "vectors": [v.tobytes()]})
-
-    dealt = placed.select("dim", "block", "id", "v").repartition("dim", "block").groupBy("dim", "block")
-    packed = dealt.applyInPandas(pack, f"dim int, block long, ids array<{kind}>, vectors binary")
-    return packed.select("dim", *[F.col(c).alias(f"{prefix}_{c}") for c in ("block", "ids", "vectors")]), counts
-
-
-def dense_search(
-    vectors: DataFrame,
-    queries: DataFrame,
-    k: int = 20,
-    *,
-    allow: DataFrame | None = None,
-    id_col: str = "chunk_id",
-    vector_col: str = "embedding",
-    query_id: str = "query_id",
-    query_vector: str = "embedding",
-    block_rows: int = 2048,
-) -> DataFrame:
-    """Exact nearest neighbours, best ``k`` per query; ``allow`` (a frame with the id column) restricts the candidates first.
-
-    Blocks of queries meet blocks of vectors as matrix products, of which only each query's best ``k`` leave a task;
-    neither side is held whole anywhere.  Each block of vectors is built once and sent to every block of queries.  Zero
-    vectors on either side have no list.
-    """
-    if allow is not None:
-        vectors = vectors.join(allow.select(id_col).distinct(), id_col, "left_semi")
-    base = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
-    asked = queries.select(F.col(query_id).alias("id"), F.col(query_vector).alias("v"))
-    (left, _), (right, asked_blocks) = _blocks(base, "v", block_rows), _blocks(asked, "q", block_rows)
-    sent = left.join(F.broadcast(asked_blocks), "dim").withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
-    # Each block of queries is copied to so many salts that no task gets all blocks of vectors.
-    salts = 64
-    left_salt, right_salts = F.pmod("v_block", F.lit(salts)), F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    work = sent.withColumn("salt", left_salt.cast("int")).join(right.withColumn("salt", right_salts), ["dim", "q_block", "salt"])
-    q_kind, v_kind = asked.schema["id"].dataType.simpleString(), base.schema["id"].dataType.simpleString()
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples():
-                v = np.frombuffer(row.v_vectors).reshape(len(row.v_ids), -1)
-                q = np.frombuffer(row.q_vectors).reshape(len(row.q_ids), -1)
-                ids, names = np.asarray(row.v_ids), np.asarray(row.q_ids)
-                take = min(k, len(ids))
-                for at in range(0, len(q), 256):
-                    scores = q[at : at + 256] @ v.T
-                    # All that tie with the k-th after rounding stay, so that ties are settled by id at the end.
-                    floor = np.partition(scores, len(ids) - take, axis=1)[:, len(ids) - take] - 2e-9
-                    i, j = np.nonzero(scores >= floor[:, None])
-                    yield pd.DataFrame({"query_id": names[at + i], "chunk_id": ids[j], "score": scores[i, j]})
-
-    schema = f"query_id {q_kind}, chunk_id {v_kind}, score double"
-    if k < 1:
-        return work.sparkSession.createDataFrame([], schema + ", rank int")
-    return top_k(work.select("v_ids", "v_vectors", "q_ids", "q_vectors").mapInPandas(best, schema), k)
-
-
 def fuse(rankings: DataFrame, k: int = RRF_K) -> DataFrame:
     """Reciprocal-rank fusion of ``query_id, retriever, chunk_id, rank``: score, retrievers (sorted), ranks, fused_rank."""
     rows = rankings.groupBy("query_id", "chunk_id").agg(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..errors import EvaluationError, GenerationError, IndexStoreError
 from ..functions.embed import Embedder
-from ..operators import answering, chunking, evaluation, ingest, ranking, vectors
+from ..operators import answering, chunking, dense, evaluation, ingest, ranking, vectors
 from ..staging import stage
 from .store import IndexStore, Snapshot
 
@@ -122,7 +122,7 @@ class Retriever:
         if self.embedder is None:
             return queries.sparkSession.createDataFrame([], "query_id string, chunk_id string, score double, rank int")
         encoded = self.embedder.encode(queries, "query_id", "question").withColumnRenamed("id", "query_id")
-        return ranking.dense_search(self.snapshot.table("vectors"), encoded, self.candidates if k is None else k)
+        return dense.dense_search(self.snapshot.table("vectors"), encoded, self.candidates if k is None else k)
 
     def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """Hits in order: chunk columns, score, retrievers, ranks, rank.  Blank questions and k < 1 have none."""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import embed, identity, text
 from .operators import answering, chunking, evaluation, ingest, ranking, vectors
+from .operators.dense import dense_search
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -270,14 +271,14 @@ def _vector_queries(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 @query(_dense_sql())
 def k02_cosine_topk(spark, sf_dir):
     rows, queries_ = _vector_queries(spark, sf_dir)
-    return ranking.dense_search(rows, queries_, 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return dense_search(rows, queries_, 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(_dense_sql("v.label IN (1, 3, 5)"))
 def f08_cosine_allow(spark, sf_dir):
     rows, queries_ = _vector_queries(spark, sf_dir)
     allow = rows.where(F.col("label").isin(1, 3, 5)).select("chunk_id")
-    return ranking.dense_search(rows, queries_, 10, allow=allow).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return dense_search(rows, queries_, 10, allow=allow).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("""SELECT vec_id, label, round(CAST(CASE WHEN label = 3 THEN -embedding[1] ELSE embedding[1] END AS DOUBLE), 6) AS first FROM embeddings

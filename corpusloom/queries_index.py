@@ -8,11 +8,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from .functions import embed, identity, text
-from .operators import chunking, evaluation, ingest, pruned, ranking
+from .operators import chunking, dense, evaluation, ingest, pruned, ranking
 from .plans import engine
 from .plans.store import IndexStore
 from .queries import (
-    CHUNK_CITED_SQL, CHUNK_ID_SQL, EMBED_DIM, EMBED_SQL, FUSED_SQL, LANES_SQL, LEXICAL_CTES, REL, _corpus, _fused, _lexical, _markdown, _outcomes, _questions, _ranked_sql, _table, chunks_sql, query,
+    CHUNK_CITED_SQL, CHUNK_ID_SQL, EMBED_DIM, EMBED_SQL, FUSED_SQL, LANES_SQL, LEXICAL_CTES, REL, _corpus, _fused, _lexical, _markdown, _outcomes, _questions, _ranked_sql, _table, _vector_queries, chunks_sql, query,
 )
 from .queries_text import ORACLES, QUERIES
 from .staging import shared_dir
@@ -62,6 +62,14 @@ def k01_bm25_pruned(spark, sf_dir):
     return rows.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(ORACLES["k02_cosine_topk"])
+def k02_cosine_blocks(spark, sf_dir):
+    """The same ranking from blocks around pivots, of which a query multiplies with those that can hold as good a vector."""
+    rows, asked = _vector_queries(spark, sf_dir)
+    index = dense.write_blocks(rows, f"{shared_dir(spark)}/blocks-{uuid.uuid4().hex}")
+    return dense.block_search(index, asked, 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
 # ------------------------------------------------------------------ hybrid search
 
 QUERY_EMBED_SQL = EMBED_SQL.replace("doc_id AS id", "item_id AS id").replace("FROM documents", "FROM benchmark").replace("tok AS", "qtok AS").replace("FROM tok", "FROM qtok").replace("h AS", "qh AS").replace("FROM h ", "FROM qh ").replace("s AS (", "qs AS (")
@@ -85,8 +93,8 @@ def q03_hybrid_md5(spark, sf_dir):
     embedder = embed.HashingEmbedder(EMBED_DIM, "md5")
     rows = embedder.encode(corpus, "chunk_id", "text").withColumnRenamed("id", "chunk_id")
     encoded = embedder.encode(asked, "query_id", "question").withColumnRenamed("id", "query_id")
-    dense = ranking.dense_search(rows, encoded, 50).withColumn("retriever", F.lit("dense"))
-    lanes = _lexical(spark, sf_dir, 50).withColumn("retriever", F.lit("lexical")).unionByName(dense)
+    near = dense.dense_search(rows, encoded, 50).withColumn("retriever", F.lit("dense"))
+    lanes = _lexical(spark, sf_dir, 50).withColumn("retriever", F.lit("lexical")).unionByName(near)
     hits = ranking.hydrate(ranking.fuse(lanes.select("query_id", "chunk_id", "rank", "retriever")), corpus, 8)
     return hits.select("query_id", "chunk_id", "citation", F.round("score", 6).alias("score"), F.array_join("retrievers", ",").alias("retrievers"), "rank")
 

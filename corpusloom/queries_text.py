@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import embed, text
 from .operators import answering, ranking
+from .operators.dense import dense_search
 from .queries import BUDGET_SQL, EMBED_DIM, ORACLES, QUERIES, REL, _corpus, _lexical, _pages, _passages, _questions, _rel, _table, query, s02_scope_report
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -52,7 +53,7 @@ def q03_hybrid_search(spark, sf_dir):
     embedder = embed.HashingEmbedder(EMBED_DIM)
     rows = embedder.encode(corpus, "chunk_id", "text").withColumnRenamed("id", "chunk_id")
     encoded = embedder.encode(asked, "query_id", "question").withColumnRenamed("id", "query_id")
-    dense = ranking.dense_search(rows, encoded, 50).withColumn("retriever", F.lit("dense"))
+    dense = dense_search(rows, encoded, 50).withColumn("retriever", F.lit("dense"))
     lanes = _lexical(spark, sf_dir, 50).withColumn("retriever", F.lit("lexical")).unionByName(dense)
     hits = ranking.hydrate(ranking.fuse(lanes.select("query_id", "chunk_id", "rank", "retriever")), corpus, 8)
     return hits.select("query_id", "chunk_id", "citation", F.round("score", 6).alias("score"), F.array_join("retrievers", ",").alias("retrievers"), "rank")

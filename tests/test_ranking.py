@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import stem, text
 from corpusloom.functions.embed import HashingEmbedder, make_embedder
 from corpusloom.errors import EmbeddingError, VectorStoreError
-from corpusloom.operators import ranking, vectors
+from corpusloom.operators import dense, ranking, vectors
 
 DOCS = [
     (1, "Compass deviation varies with the heading of the vessel; running vessels deviate.", "Navigation / Deviation"),
@@ -78,12 +78,12 @@ def test_trust_breaks_ties_only(spark):
 def test_dense_order_allow_and_zero(spark):
     rows = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 2.0]), ("c", [-1.0, 0.0]), ("z", [0.0, 0.0])], "chunk_id string, embedding array<double>")
     asked = spark.createDataFrame([("q", [2.0, 0.1]), ("none", [0.0, 0.0])], "query_id string, embedding array<double>")
-    found = ranking.dense_search(rows, asked, 10).orderBy("rank").collect()
+    found = dense.dense_search(rows, asked, 10).orderBy("rank").collect()
     assert [r["chunk_id"] for r in found] == ["a", "b", "c"] and found[2]["score"] < 0
     allow = spark.createDataFrame([("b",), ("nope",)], "chunk_id string")
-    assert [r["chunk_id"] for r in ranking.dense_search(rows, asked, 10, allow=allow).collect()] == ["b"]
-    assert ranking.dense_search(rows, asked, 10, allow=allow.limit(0)).count() == 0
-    assert ranking.dense_search(rows, asked, 0).count() == 0
+    assert [r["chunk_id"] for r in dense.dense_search(rows, asked, 10, allow=allow).collect()] == ["b"]
+    assert dense.dense_search(rows, asked, 10, allow=allow.limit(0)).count() == 0
+    assert dense.dense_search(rows, asked, 0).count() == 0
 
 
 def test_vector_table(spark):
