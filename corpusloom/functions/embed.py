@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import importlib.util
+import re
+from collections import Counter
 from collections.abc import Iterator, Mapping
 from typing import Protocol
 
@@ -15,6 +17,9 @@ from pyspark.sql import functions as F
 from ..errors import EmbeddingError
 
 
+KNOWN_TOKENS = 1 << 20  # places of tokens that a task remembers before it starts anew
+
+
 class Embedder(Protocol):
     """Turns ``id, text`` rows into ``id, embedding`` rows of unit (or zero) vectors."""
 
@@ -75,13 +80,14 @@ class HashingEmbedder:
         v = int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "big")
         return v % self.dim, 1.0 if v >> 63 else -1.0
 
-    def encode_one(self, text: str) -> np.ndarray:
-        import re
-
-        out = np.zeros(self.dim)
-        for token in re.findall("[a-z0-9]+", text.lower()):
-            bucket, sign = self._place(token)
-            out[bucket] += sign
+    def encode_one(self, text: str, known: dict[str, tuple[int, float]] | None = None) -> np.ndarray:
+        """``known`` holds the places of tokens that were met before, and takes up new ones."""
+        known, out = {} if known is None else known, np.zeros(self.dim)
+        for token, n in Counter(re.findall("[a-z0-9]+", text.lower())).items():
+            place = known.get(token)
+            if place is None:
+                place = known[token] = self._place(token)
+            out[place[0]] += place[1] * n
         norm = np.linalg.norm(out)
         return out / norm if norm else out
 
@@ -89,8 +95,11 @@ class HashingEmbedder:
         """One Arrow pass; a text's vector needs nothing but the text, so nothing is shuffled."""
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            known: dict[str, tuple[int, float]] = {}
             for batch in batches:
-                yield pd.DataFrame({"id": batch["id"], "embedding": [self.encode_one(t or "").astype(np.float32) for t in batch["text"]]})
+                if len(known) > KNOWN_TOKENS:
+                    known.clear()
+                yield pd.DataFrame({"id": batch["id"], "embedding": [self.encode_one(t or "", known).astype(np.float32) for t in batch["text"]]})
 
         base = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         return base.mapInPandas(run, f"id {base.schema['id'].dataType.simpleString()}, embedding array<float>")

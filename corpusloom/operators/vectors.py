@@ -14,11 +14,14 @@ def check(vectors: DataFrame, dim: int, *, vector_col: str = "embedding") -> Dat
     return vectors.withColumn(vector_col, F.when(ok, F.col(vector_col)).otherwise(F.raise_error(F.lit(f"a vector does not have {dim} components"))))
 
 
-def upsert(current: DataFrame, new: DataFrame, *, id_col: str = "chunk_id") -> DataFrame:
-    """``new`` replaces rows of its ids and adds the others."""
+def upsert(current: DataFrame, new: DataFrame, *, id_col: str = "chunk_id", order_col: str | None = None) -> DataFrame:
+    """``new`` replaces rows of its ids and adds the others.  Of rows of ``new`` with one id the last by ``order_col`` stays (a column
+    that both have), and of those that tie, or without such a column, the greatest."""
     if set(current.columns) != set(new.columns):
         raise VectorStoreError(f"columns differ: {sorted(current.columns)} and {sorted(new.columns)}")
-    return current.join(new.select(id_col).distinct(), id_col, "left_anti").select(*current.columns).unionByName(new)
+    whole = F.struct(*[F.col(f"`{c}`") for c in current.columns])
+    last = new.groupBy(F.col(id_col).alias("_id")).agg(F.max_by(whole, F.struct(F.col(order_col), whole) if order_col else whole).alias("_row"))
+    return current.join(new.select(id_col).distinct(), id_col, "left_anti").select(*current.columns).unionByName(last.select("_row.*"))
 
 
 def delete(current: DataFrame, ids: DataFrame, *, id_col: str = "chunk_id") -> DataFrame:

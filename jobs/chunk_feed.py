@@ -12,7 +12,8 @@ under its own number:
 
 A document's chunks are those of its last batch; ``current`` reads them.  A batch replaces its own partitions alone and
 compares with earlier numbers alone, so one that is run again after a failure writes the same rows once more.  Output and
-checkpoint belong together: start a new output with a new checkpoint.
+checkpoint belong together: start a new output with a new checkpoint, also to have documents split by other settings, since
+those with the same content are left alone.
 
 Within a batch the version of the latest file counts, and of equally late ones that with the greatest content hash.
 A null id is no document.  Texts are read twice (for their hashes, then for their chunks) and shuffled once, to write
@@ -62,8 +63,10 @@ def _versions(batch: DataFrame, config: dict) -> DataFrame:
     )
 
 
-def _decide(versions: DataFrame, known: DataFrame) -> DataFrame:
-    """The version of each document that counts, with its ``status`` against ``known`` (doc_id, content_hash)."""
+def _decide(versions: DataFrame, before: DataFrame) -> DataFrame:
+    """The version of each document that counts, with its ``status`` against the last of the versions ``before``."""
+    # What is known of other documents is read, as narrow columns, and left where it is.
+    known = last_versions(before.join(versions.select("doc_id").distinct(), "doc_id", "left_semi"))
     order = F.struct("modified", F.coalesce("content_hash", F.lit("")), "file_path", "row_index")
     latest = versions.groupBy("doc_id").agg(F.max_by(F.struct(*[c for c in versions.columns if c != "doc_id"]), order).alias("v"))
     joined = latest.select("doc_id", "v.*").join(known.select("doc_id", F.col("content_hash").alias("old")), "doc_id", "left")
@@ -86,18 +89,21 @@ def last_versions(versions: DataFrame) -> DataFrame:
 def current(spark: SparkSession, output: str) -> DataFrame:
     """The chunks of the documents as they stand."""
     chunks = spark.read.schema(CHUNK_SCHEMA).parquet(f"{output}/chunks")
-    alive = last_versions(state(spark, output)).where("content_hash is not null")
-    return chunks.withColumn("root", F.coalesce("root", F.lit(""))).join(alive, ["doc_id", "batch"], "left_semi")
+    versions = state(spark, output).select("doc_id", "batch")
+    # Only documents with several versions have old ones; as long as those are few, chunks need not be shuffled.
+    last = versions.groupBy("doc_id").agg(F.max("batch").alias("last"), F.count("*").alias("n")).where("n > 1")
+    old = versions.join(last, "doc_id").where("batch < last").select("doc_id", "batch")
+    return chunks.withColumn("root", F.coalesce("root", F.lit(""))).join(old, ["doc_id", "batch"], "left_anti")
 
 
 def take_batch(spark: SparkSession, batch: DataFrame, number: int, output: str, config: dict) -> dict[str, int]:
     """Writes what micro-batch ``number`` says under its number; the documents by status."""
     began = time.monotonic()
     versions = _versions(batch, config)
-    known = last_versions(state(spark, output).where(F.col("batch") < number)) if number else spark.createDataFrame([], STATE_SCHEMA)
+    before = state(spark, output).where(F.col("batch") < number) if number else spark.createDataFrame([], STATE_SCHEMA)
     place, under = ["file_path", "row_index"], F.lit(number).cast("long").alias("batch")
     into = lambda rows, name, *by: rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", *by).parquet(f"{output}/{name}")
-    with staged(versions.drop("text"), "versions") as narrow, staged(_decide(narrow, known), "decided") as decided:
+    with staged(versions.drop("text"), "versions") as narrow, staged(_decide(narrow, before), "decided") as decided:
         into(decided.where("status not in ('unchanged', 'absent')").select("doc_id", "rel", "root", "trust", "content_hash", "size", "status", under), "documents")
         other = narrow.join(decided.where("status in ('added', 'changed')"), place, "left_anti").select(place)
         split = versions.join(other, place, "left_anti").select("doc_id", "rel", "trust", "text")

@@ -91,6 +91,10 @@ def test_vector_table(spark):
     new = spark.createDataFrame([("b", [3.0]), ("c", [4.0])], "chunk_id string, embedding array<double>")
     merged = vectors.upsert(now, new)
     assert sorted(map(tuple, merged.select("chunk_id", F.col("embedding")[0]).collect())) == [("a", 1.0), ("b", 3.0), ("c", 4.0)]
+    again = spark.createDataFrame([("b", [9.0], 1), ("b", [5.0], 2), ("d", [7.0], 1), ("d", [8.0], 1)], "chunk_id string, embedding array<double>, at int")
+    last = vectors.upsert(now.withColumn("at", F.lit(0)), again, order_col="at")
+    assert sorted(map(tuple, last.select("chunk_id", F.col("embedding")[0]).collect())) == [("a", 1.0), ("b", 5.0), ("d", 8.0)]
+    assert sorted(map(tuple, vectors.upsert(now, again.drop("at")).select("chunk_id", F.col("embedding")[0]).collect())) == [("a", 1.0), ("b", 9.0), ("d", 8.0)]
     assert vectors.delete(merged, new.withColumn("chunk_id", F.lit("zzz"))).count() == 3
     assert vectors.stats(merged).first().asDict() == {"count": 3, "dim": 1, "bytes": 12}
     assert vectors.stats(merged.limit(0)).first()["count"] == 0
