@@ -39,6 +39,18 @@ class IndexReport:
         return "\n".join(f"  {n:>5}  {name}" for name, n in rows)
 
 
+def one_of_each(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``documents`` without repeated ids, their ids and hashes).  Of an id's rows the one with the greatest hash stays, the
+    same whenever the result is computed; texts are shuffled for ids that do repeat, of which there should be none."""
+    found = stage(documents.groupBy("doc_id").agg(F.max("content_hash").alias("content_hash"), F.count("*").alias("rows")), "index-found")
+    repeated = found.where("rows > 1").select("doc_id")
+    if not repeated.isEmpty():
+        row = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
+        last = documents.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by(row, F.struct(F.coalesce("content_hash", F.lit("")), F.xxhash64(row))).alias("d"))
+        documents = documents.join(repeated, "doc_id", "left_anti").unionByName(last.select("d.*"))
+    return documents, found.select("doc_id", "content_hash")
+
+
 def build(spark: SparkSession, store: IndexStore, documents: DataFrame, embedder: Embedder | None, *, rebuild: bool = False, dry_run: bool = False, max_chars: int = chunking.MAX_CHARS) -> IndexReport:
     """Brings the index to the state of ``documents`` and publishes it as one snapshot.
 
@@ -47,10 +59,9 @@ def build(spark: SparkSession, store: IndexStore, documents: DataFrame, embedder
     their chunks.  A run that finds nothing to do publishes nothing; ``dry_run`` writes nothing, also with ``rebuild``.
     """
     current = None if rebuild else store.current()
-    documents = documents.dropDuplicates(["doc_id"])
+    documents, found = one_of_each(documents)
     known = current.table("documents") if current else spark.createDataFrame([], "doc_id string, content_hash string")
-    plan = ingest.plan(documents.select("doc_id", "content_hash"), known.select("doc_id", "content_hash"))
-    plan = stage(plan, "index-plan")
+    plan = stage(ingest.plan(found, known.select("doc_id", "content_hash")), "index-plan")
     counts = {r["status"]: r["n"] for r in plan.groupBy("status").agg(F.count("*").alias("n")).collect()}
     report = {s: counts.get(s, 0) for s in ("added", "changed", "unchanged", "removed")}
     if dry_run:

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from . import queries_sections  # noqa: F401  completes the catalogue, too
+from . import queries_sections, queries_tables  # noqa: F401  complete the catalogue, too
 from .functions import embed, identity, text
 from .operators import chunking, dense, evaluation, ingest, pruned, ranking
 from .plans import engine
