@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, stage, text_or_empty
@@ -350,10 +350,15 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     document, so of rows that repeat an id one stays; rows without an id all stay."""
     kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     row = docs.select(F.col(id_col).alias("row_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    stays = row.join(kept, F.col("row_id") == F.col("kept_id"), "left_semi")
-    place = F.row_number().over(Window.partitionBy("row_id").orderBy(F.xxhash64("row")))
-    named = stays.withColumn("place", place).where("place = 1").select("row.*")
-    return named.unionByName(row.where("row_id is null").select("row.*"))
+    # Of rows that repeat an id the one with the least hash, found without their texts; equal ones meet in their tasks first.
+    named = row.where("row_id is not null").groupBy("row_id").agg(F.count("*").alias("rows"), F.min(F.xxhash64("row")).alias("least"))
+    wanted = stage(named.join(kept, F.col("row_id") == F.col("kept_id"), "left_semi"), "mh-wanted")
+    stays = row.join(wanted.where("rows = 1"), "row_id", "left_semi").select("row.*").unionByName(row.where("row_id is null").select("row.*"))
+    several = wanted.where("rows > 1")
+    if several.isEmpty():
+        return stays
+    least = row.withColumn("least", F.xxhash64("row")).join(several, ["row_id", "least"], "left_semi")
+    return stays.unionByName(least.groupBy("row_id").agg(F.any_value("row").alias("row")).select("row.*"))
 
 
 def oracle(width: int, percent: int = 80) -> str:

@@ -258,6 +258,15 @@ def test_near_duplicates_of_odd_rows(spark, odd, empty):
     assert kept.columns == odd.columns and sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 2, 3, 6, 7, 8]
 
 
+def test_one_row_of_a_hot_id_stays(spark):
+    """A third of all rows have one id: with different texts, and with equal ones."""
+    long = lambda n: " ".join(f"w{n}x{i}" for i in range(12))
+    rows = [(7 if i % 3 == 0 else 1000 + i, long(i if i % 2 else 0) if i % 3 == 0 else long(i), i % 2) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rows int").repartition(5)
+    kept = [sorted(map(tuple, minhash.deduplicate(d).collect())) for d in (docs, docs.repartition(3))]
+    assert kept[0] == kept[1] and [r[0] for r in kept[0]] == sorted({r[0] for r in rows}) and set(kept[0]) <= set(rows)
+
+
 def test_words_and_shingles():
     assert minhash.words_of("A\x0bÄ b\x1cc\u00a0D") == ["a".encode(), "Ä".encode(), "b\x1cc\u00a0d".encode()]
     assert len(minhash.shingle_set("a b a b a", 2)) == 2 and len(minhash.shingle_set("A", 2)) == 1 and len(minhash.shingle_set(" ", 2)) == 0
