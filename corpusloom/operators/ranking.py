@@ -58,14 +58,15 @@ def build_index(chunks: DataFrame, *, id_col: str = "chunk_id", text_col: str =
     """Postings in one aggregation of the tokens; with ``stem``, the distinct terms alone go through Python.  ``staged``
     writes the postings, so that all that is taken from them reads the texts once."""
     tokens = token_rows(chunks, id_col, text_col, headings_col)
-    places = lambda field: F.collect_list(F.when(F.col("field") == field, F.col("pos")))
+    # Sorted, since the order in which rows are collected differs from run to run.
+    places = lambda field: F.array_sort(F.collect_list(F.when(F.col("field") == field, F.col("pos"))))
     count = lambda field: F.count_if(F.col("field") == field)
     extra = [places("text").alias("pos_text"), places("head").alias("pos_head")] if positions else []
     postings = tokens.groupBy("chunk_id", "term").agg(count("text").alias("tf_text"), count("head").alias("tf_head"), *extra)
     if staged:
         postings = stage(postings, "postings")
     if stem:
-        merged = [F.flatten(F.collect_list(c)).alias(c) for c in ("pos_text", "pos_head")] if positions else []
+        merged = [F.array_sort(F.flatten(F.collect_list(c))).alias(c) for c in ("pos_text", "pos_head")] if positions else []
         named = postings.join(stemming.normalised_vocabulary(postings), "term").groupBy("chunk_id", F.col("norm").alias("term"))
         postings = named.agg(F.sum("tf_text").alias("tf_text"), F.sum("tf_head").alias("tf_head"), *merged)
         if staged:
