@@ -353,7 +353,8 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     # Of rows that repeat an id the one with the least hash, found without their texts; equal ones meet in their tasks first.
     named = row.where("row_id is not null").groupBy("row_id").agg(F.count("*").alias("rows"), F.min(F.xxhash64("row")).alias("least"))
     wanted = stage(named.join(kept, F.col("row_id") == F.col("kept_id"), "left_semi"), "mh-wanted")
-    stays = row.join(wanted.where("rows = 1"), "row_id", "left_semi").select("row.*").unionByName(row.where("row_id is null").select("row.*"))
+    # The ids that stay grow with the table, so they are never broadcast, and rows move in proportion at every size.
+    stays = row.join(wanted.where("rows = 1").hint("merge"), "row_id", "left_semi").select("row.*").unionByName(row.where("row_id is null").select("row.*"))
     several = wanted.where("rows > 1")
     if several.isEmpty():
         return stays
