@@ -5,19 +5,27 @@ Everything works on a frame of queries; one query is a batch of one row.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stem as stemming
 from ..functions.text import index_tokens, query_words
-from ..staging import stage
+from ..staging import split_repeated, stage
 
 # Provenance tiers from most to least trusted; what an unknown tier counts as.
 TIERS = ("authored", "curated", "upstream", "untrusted", "unknown")
 RRF_K = 60
 IDF_FLOOR = 1e-6
+SENT_TERMS = 1 << 18  # pairs of query and term that are sent to the texts; more of them meet postings in a join
+SCORE_CELLS = 1 << 20  # scores that a task holds at a time
+ROWS_AT_ONCE, KNOWN_TERMS = 1024, 1 << 17  # chunks that a task counts at a time; terms whose stems it remembers
+CLOSE = 2e-9  # what rounding to nine digits may hide
 
 
 def tier_rank(tier: Column) -> Column:
@@ -39,6 +47,7 @@ class LexicalIndex:
     terms: DataFrame
     corpus: DataFrame
     stemmed: bool = False
+    counted: DataFrame | None = None  # the postings with their chunk's length, n, from a build
 
 
 def _idf(total: Column, having: Column) -> Column:
@@ -54,24 +63,83 @@ def token_rows(chunks: DataFrame, id_col: str, text_col: str, headings_col: str
     return text.unionByName(head)
 
 
-def build_index(chunks: DataFrame, *, id_col: str = "chunk_id", text_col: str = "text", headings_col: str | None = None, stem: bool = False, positions: bool = False, staged: bool = False) -> LexicalIndex:
-    """Postings in one aggregation of the tokens; with ``stem``, the distinct terms alone go through Python.  ``staged``
-    writes the postings, so that all that is taken from them reads the texts once."""
+def _token_lists(chunks: DataFrame, id_col: str, text_col: str, headings_col: str | None) -> DataFrame:
+    head = index_tokens(F.col(headings_col)) if headings_col else F.array().cast("array<string>")
+    return chunks.select(F.col(id_col).alias("chunk_id"), index_tokens(F.col(text_col)).alias("text"), head.alias("head"))
+
+
+def _postings_by_shuffle(chunks: DataFrame, id_col: str, text_col: str, headings_col: str | None, *, stem: bool = False, positions: bool = False) -> DataFrame:
+    """Postings in one aggregation of the tokens, whichever rows a chunk's tokens are in; with ``stem``, the distinct terms go through Python."""
     tokens = token_rows(chunks, id_col, text_col, headings_col)
     # Sorted, since the order in which rows are collected differs from run to run.
     places = lambda field: F.array_sort(F.collect_list(F.when(F.col("field") == field, F.col("pos"))))
     count = lambda field: F.count_if(F.col("field") == field)
     extra = [places("text").alias("pos_text"), places("head").alias("pos_head")] if positions else []
     postings = tokens.groupBy("chunk_id", "term").agg(count("text").alias("tf_text"), count("head").alias("tf_head"), *extra)
+    if not stem:
+        return postings
+    merged = [F.array_sort(F.flatten(F.collect_list(c))).alias(c) for c in ("pos_text", "pos_head")] if positions else []
+    named = postings.join(stemming.normalised_vocabulary(postings), "term").groupBy("chunk_id", F.col("norm").alias("term"))
+    return named.agg(F.sum("tf_text").alias("tf_text"), F.sum("tf_head").alias("tf_head"), *merged)
+
+
+def _counted(chunks: DataFrame, id_col: str, text_col: str, headings_col: str | None, stem: bool, positions: bool) -> DataFrame:
+    """Postings with ``n``, the chunk's length, and ``first``, true in one row a chunk, which has no term if the chunk has none.
+    A chunk's tokens lie in one row, so they are counted there; only chunks whose id repeats, which are one, are shuffled."""
+    alone, repeated = split_repeated(chunks, id_col)
+    tokens = _token_lists(alone, id_col, text_col, headings_col)
+    kind = tokens.schema["chunk_id"].dataType.simpleString()
+    schema = f"chunk_id {kind}, term string, tf_text long, tf_head long, {'pos_text array<int>, pos_head array<int>, ' if positions else ''}n long, first boolean"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, str] = {}
+        for part in (batch.slice(at, ROWS_AT_ONCE) for batch in batches for at in range(0, batch.num_rows, ROWS_AT_ONCE)):
+            rows, columns = part.num_rows, (part.column(1), part.column(2))
+            sizes = [pc.list_value_length(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns]
+            words = pa.concat_arrays([c.flatten() for c in columns]).dictionary_encode()
+            code, words = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary
+            if stem:
+                if len(known) > KNOWN_TERMS:
+                    known.clear()
+                normal = pa.array(stemming.normalised(words.to_pylist(), known), pa.string()).dictionary_encode()
+                code, words = normal.indices.to_numpy(zero_copy_only=False).astype(np.int64)[code] if len(code) else code, normal.dictionary
+            row = np.concatenate([np.repeat(np.arange(rows), s) for s in sizes])
+            pos = np.concatenate([np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s) for s in sizes])
+            head = np.repeat([0, 1], [s.sum() for s in sizes])
+            order = np.argsort(((row * len(words) + code) * 2) + head, kind="stable")  # places within a field stay in order
+            key, head = (row * len(words) + code)[order], head[order]
+            found, begin = np.unique(key, return_index=True)
+            tf_head = np.bincount(np.repeat(np.arange(len(found)), np.diff([*begin, len(key)])), head, len(found)).astype(np.int64)
+            tf_text = np.diff([*begin, len(key)]) - tf_head
+            of, n = found // max(1, len(words)), sum(sizes)
+            bare = np.nonzero(n == 0)[0]  # chunks without a token
+            at = np.concatenate([of, bare])
+            lists = lambda counts, values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts), np.full(len(bare), counts.sum())]).astype(np.int32)), pa.array(values.astype(np.int32)))  # noqa: E731, B023
+            places = [lists(tf_text, pos[order][head == 0]), lists(tf_head, pos[order][head == 1])] if positions else []
+            term = pa.concat_arrays([words.take(pa.array(found % max(1, len(words)))), pa.nulls(len(bare), pa.string())])
+            fill = lambda x: pa.array(np.concatenate([x, np.zeros(len(bare), np.int64)]))  # noqa: E731, B023
+            first = np.concatenate([np.diff(of, prepend=-1) > 0, np.ones(len(bare), bool)])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), term, fill(tf_text), fill(tf_head), *places, pa.array(n[at]), pa.array(first)], names=[f.split()[0] for f in schema.split(", ")])
+
+    counted = tokens.mapInArrow(count, schema)
+    if repeated is None:
+        return counted
+    postings = _postings_by_shuffle(repeated, id_col, text_col, headings_col, stem=stem, positions=positions)
+    # A row of its own tells the length here.
+    lengths = _lengths(postings, repeated.select(F.col(id_col).alias("chunk_id"))).withColumn("first", F.lit(True))
+    with_n = postings.join(lengths.select(F.col("chunk_id").alias("_id"), "n"), F.col("chunk_id").eqNullSafe(F.col("_id"))).drop("_id").withColumn("first", F.lit(False))
+    return counted.unionByName(with_n).unionByName(lengths, allowMissingColumns=True)
+
+
+def build_index(chunks: DataFrame, *, id_col: str = "chunk_id", text_col: str = "text", headings_col: str | None = None, stem: bool = False, positions: bool = False, staged: bool = False) -> LexicalIndex:
+    """Postings of each chunk where its text lies, without a shuffle.  ``staged`` writes the postings, so that all that is taken
+    from them reads the texts once."""
+    counted = _counted(chunks, id_col, text_col, headings_col, stem, positions)
     if staged:
-        postings = stage(postings, "postings")
-    if stem:
-        merged = [F.array_sort(F.flatten(F.collect_list(c))).alias(c) for c in ("pos_text", "pos_head")] if positions else []
-        named = postings.join(stemming.normalised_vocabulary(postings), "term").groupBy("chunk_id", F.col("norm").alias("term"))
-        postings = named.agg(F.sum("tf_text").alias("tf_text"), F.sum("tf_head").alias("tf_head"), *merged)
-        if staged:
-            postings = stage(postings, "postings")
-    return index_of(postings, chunks.select(F.col(id_col).alias("chunk_id")), stem)
+        counted = stage(counted, "postings")
+    postings = counted.where("term is not null").drop("first")
+    index = _derived(postings.drop("n"), counted.where("first").select("chunk_id", "n"), stem)
+    return replace(index, counted=postings)
 
 
 def index_for(chunks: DataFrame, queries: DataFrame, *, id_col: str = "chunk_id", text_col: str = "text", headings_col: str | None = None, query_text: str = "question") -> LexicalIndex:
@@ -90,10 +158,9 @@ def index_for(chunks: DataFrame, queries: DataFrame, *, id_col: str = "chunk_id"
     return _derived(counts.where("term is not null"), lengths, False)
 
 
-def index_of(postings: DataFrame, ids: DataFrame, stemmed: bool) -> LexicalIndex:
-    """The derived tables; chunks without a token count towards the corpus with length 0."""
+def _lengths(postings: DataFrame, ids: DataFrame) -> DataFrame:
     sums = postings.groupBy("chunk_id").agg(F.sum(F.col("tf_text") + F.col("tf_head")).alias("n"))
-    return _derived(postings, ids.join(sums, "chunk_id", "left").select("chunk_id", F.coalesce("n", F.lit(0)).alias("n")), stemmed)
+    return ids.distinct().join(sums, "chunk_id", "left").select("chunk_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def _derived(postings: DataFrame, lengths: DataFrame, stemmed: bool) -> LexicalIndex:
@@ -184,6 +251,95 @@ def lexical_search(index: LexicalIndex, queries: DataFrame, k: int = 20, **optio
     return top_k(bm25_scores(index, queries, **options), k)
 
 
+def _asked_counts(chunks: DataFrame, terms: pa.Array, id_col: str, text_col: str, headings_col: str | None) -> DataFrame:
+    """``chunk_id, n, codes, tf_text, tf_head``: a row per chunk with its length and its counts of ``terms``, which codes number.
+    Nothing is shuffled but chunks whose id repeats, which are one."""
+    alone, repeated = split_repeated(chunks, id_col)
+    tokens = _token_lists(alone, id_col, text_col, headings_col)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, total = [], np.zeros(batch.num_rows, np.int64)
+            for column in (batch.column(1), batch.column(2)):
+                total += pc.list_value_length(column).to_numpy(zero_copy_only=False)
+                code = pc.fill_null(pc.index_in(column.flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False)
+                keys.append((pc.list_parent_indices(column).to_numpy(zero_copy_only=False).astype(np.int64) * len(terms) + code)[code >= 0])
+            found, place = np.unique(np.concatenate(keys), return_inverse=True)
+            tf = [np.bincount(field, minlength=len(found)) for field in np.split(place, [len(keys[0])])]
+            offsets = pa.array(np.searchsorted(found, np.arange(batch.num_rows + 1) * len(terms)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (found % max(1, len(terms)), *tf)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total), *lists], names=["chunk_id", "n", "codes", "tf_text", "tf_head"])
+
+    counted = tokens.mapInArrow(count, f"chunk_id {tokens.schema['chunk_id'].dataType.simpleString()}, n long, codes array<int>, tf_text array<int>, tf_head array<int>")
+    if repeated is None:
+        return counted
+    postings = _postings_by_shuffle(repeated, id_col, text_col, headings_col)
+    table = chunks.sparkSession.createDataFrame(list(zip(terms.to_pylist(), range(len(terms)), strict=True)), "term string, code int")
+    parts = F.struct("code", F.col("tf_text").cast("int").alias("tf_text"), F.col("tf_head").cast("int").alias("tf_head"))
+    lists = postings.join(F.broadcast(table), "term").groupBy(F.col("chunk_id").alias("_id")).agg(F.collect_list(parts).alias("p"))
+    lengths = _lengths(postings, repeated.select(F.col(id_col).alias("chunk_id")))
+    merged = lengths.join(lists, lengths["chunk_id"].eqNullSafe(lists["_id"]), "left")
+    part = lambda c: F.coalesce(F.col(f"p.{c}"), F.array().cast("array<int>"))
+    return counted.unionByName(merged.select("chunk_id", F.col("n").cast("long").alias("n"), part("code").alias("codes"), part("tf_text").alias("tf_text"), part("tf_head").alias("tf_head")))
+
+
+def search_texts(
+    chunks: DataFrame, queries: DataFrame, k: int = 20, *, id_col: str = "chunk_id", text_col: str = "text", headings_col: str | None = None, query_text: str = "question",
+    weights: tuple[float, float] = (0.5, 1.0), k1: float = 1.2, b: float = 0.75,
+) -> DataFrame:
+    """``query_id, chunk_id, score, rank`` as ``lexical_search`` over ``index_for`` gives them, for a corpus without an index.
+
+    The texts are read once, for each chunk's counts of the terms asked for.  Those counts are not shuffled: queries go to where
+    they lie, and of each task's scores only those leave it that can be among a query's ``k`` best.
+    """
+    asked = stage(query_items(queries, text_col=query_text).groupBy("query_id", "term").agg(F.count("*").alias("times")), "asked")
+    many = asked.agg(F.count("*").alias("pairs"), F.count_distinct("query_id").alias("queries")).first()
+    if k < 1 or many["pairs"] > SENT_TERMS or many["queries"] * k > SCORE_CELLS:
+        index = index_for(chunks, queries, id_col=id_col, text_col=text_col, headings_col=headings_col, query_text=query_text)
+        return lexical_search(index, queries, k, weights=weights, k1=k1, b=b)
+    if not many["pairs"]:
+        return chunks.sparkSession.createDataFrame([], f"query_id {asked.schema['query_id'].dataType.simpleString()}, chunk_id {chunks.schema[id_col].dataType.simpleString()}, score double, rank int")
+    pairs = asked.toArrow().combine_chunks()  # at most SENT_TERMS rows
+    coded = [pairs[c].combine_chunks().dictionary_encode("encode") for c in ("query_id", "term")]
+    (names, query), (terms, code) = [(c.dictionary, c.indices.to_numpy(zero_copy_only=False).astype(np.int64)) for c in coded]
+    counted = stage(_asked_counts(chunks, terms, id_col, text_col, headings_col), "asked-counts")
+    corpus = corpus_row(counted).first()
+    having = counted.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("n_docs"))
+    idf = np.zeros(len(terms))
+    for row in having.select("code", _idf(F.lit(corpus["chunks"]), F.col("n_docs")).alias("idf")).collect():  # as many rows as terms asked for
+        idf[row["code"]] = row["idf"]
+    # By term: the queries that have it, and what it weighs there.
+    order = np.argsort(code, kind="stable")
+    starts = np.searchsorted(code[order], np.arange(len(terms) + 1))
+    query, weight = query[order], (pairs["times"].to_numpy() * idf[code])[order]
+    average, (w_text, w_head) = float(corpus["avg_len"] or 0), (float(w) for w in weights)
+    step = max(1, SCORE_CELLS // max(1, len(names)))
+    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, chunk_id {counted.schema['chunk_id'].dataType.simpleString()}, score double"
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        floor = np.full(len(names), -np.inf)
+        for part in (batch.slice(at, step) for batch in batches for at in range(0, batch.num_rows, step)):
+            row, length = pc.list_parent_indices(part.column(2)).to_numpy(zero_copy_only=False), part.column(1).to_numpy()
+            term, text, head = (part.column(n).flatten().to_numpy() for n in (2, 3, 4))
+            tf = w_text * text + w_head * head
+            value = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / average))
+            # Each count meets all queries that have its term.
+            times = starts[term + 1] - starts[term]
+            pair = np.repeat(starts[term] - np.cumsum(times) + times, times) + np.arange(times.sum())
+            cell, cells = query[pair] * part.num_rows + np.repeat(row, times), len(names) * part.num_rows
+            scores = np.bincount(cell, weight[pair] * np.repeat(value, times), cells).astype(float)
+            scores[np.bincount(cell, minlength=cells) == 0] = -np.inf  # a match may be worth nothing
+            scores = scores.reshape(len(names), part.num_rows)
+            if part.num_rows >= k:
+                floor = np.maximum(floor, np.partition(scores, part.num_rows - k, axis=1)[:, part.num_rows - k] - CLOSE)
+            i, j = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
+            if len(i):
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(i)), part.column(0).take(pa.array(j)), pa.array(scores[i, j])], names=["query_id", "chunk_id", "score"])
+
+    # A few rows a query: written, so that what joins them knows how few.
+    return stage(top_k(counted.where("chunk_id is not null").mapInArrow(score, schema), k), "found")
+
+
 def fuse(rankings: DataFrame, k: int = RRF_K) -> DataFrame:
     """Reciprocal-rank fusion of ``query_id, retriever, chunk_id, rank``: score, retrievers (sorted), ranks, fused_rank."""
     rows = rankings.groupBy("query_id", "chunk_id").agg(

@@ -64,8 +64,7 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lexical(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    index = ranking.index_for(_corpus(spark, sf_dir), _questions(spark, sf_dir))
-    return ranking.lexical_search(index, _questions(spark, sf_dir), k, weights=(1.0, 1.0))
+    return ranking.search_texts(_corpus(spark, sf_dir), _questions(spark, sf_dir), k, weights=(1.0, 1.0))
 
 
 STOP_SQL = ", ".join(f"'{w}'" for w in text.STOPWORDS)
@@ -223,8 +222,7 @@ def _pages(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {WORDS_CTE}, {_postings_sql(PAGE_CHUNKS)}, {_scores_sql(0.5, 1.0)}, {_ranked_sql(10)} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM ranked")
 def k01_bm25_two_field(spark, sf_dir):
-    index = ranking.index_for(_pages(spark, sf_dir), _questions(spark, sf_dir), headings_col="headings")
-    return ranking.lexical_search(index, _questions(spark, sf_dir), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return ranking.search_texts(_pages(spark, sf_dir), _questions(spark, sf_dir), 10, headings_col="headings").select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query()

@@ -50,8 +50,7 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
 
 def passages(chunks: DataFrame, questions: DataFrame, config: dict) -> DataFrame:
     """The best passages of each question, in order, as far as the budget goes."""
-    index = ranking.index_for(chunks, questions)
-    best = ranking.lexical_search(index, questions, int(config["passages"]), weights=tuple(config["weights"]))
+    best = ranking.search_texts(chunks, questions, int(config["passages"]), weights=tuple(config["weights"]))
     # A few rows a question meet the chunks by id: texts that no question asks for are left where they are.
     return answering.within_budget(best.join(chunks, "chunk_id"), int(config["max_chars"]), text_col="text").select(*PASSAGE_COLUMNS)
 

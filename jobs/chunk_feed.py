@@ -36,7 +36,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from corpusloom.functions import identity  # noqa: E402
 from corpusloom.operators import chunking, ingest  # noqa: E402
-from corpusloom.staging import bounded_batches, staged  # noqa: E402
+from corpusloom.staging import bounded_batches, stage, staged  # noqa: E402
 from jobs.common import command_line, settings  # noqa: E402
 
 log = logging.getLogger("jobs.chunk_feed")
@@ -92,7 +92,8 @@ def current(spark: SparkSession, output: str) -> DataFrame:
     versions = state(spark, output).select("doc_id", "batch")
     # Only documents with several versions have old ones; as long as those are few, chunks need not be shuffled.
     last = versions.groupBy("doc_id").agg(F.max("batch").alias("last"), F.count("*").alias("n")).where("n > 1")
-    old = versions.join(last, "doc_id").where("batch < last").select("doc_id", "batch")
+    # Written, so that it's known to be small before chunks would be shuffled to meet it.
+    old = stage(versions.join(last, "doc_id").where("batch < last").select("doc_id", "batch"), "old-versions")
     return chunks.withColumn("root", F.coalesce("root", F.lit(""))).join(old, ["doc_id", "batch"], "left_anti")
 
 
