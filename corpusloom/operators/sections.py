@@ -22,15 +22,15 @@ from pyspark.sql import functions as F
 from ..functions.text import section_ref
 from .chunking import MIN_CHARS
 
-# What ends a line, and the other blanks.
-LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+# What ends a line, besides a pair of return and line end, and the other blanks.
+LINE_END = r"[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 BLANK = r"[\t\x1f\x20\xa0  -   　]"
 FENCED = rf"(?m)^{BLANK}{{0,3}}((`|~)\2{{2,}}+)[^\n]*$[\s\S]*?(?:^{BLANK}{{0,3}}\1\2*+{BLANK}*$|\z)"
 ATX = rf"^(#{{1,6}}){BLANK}+(.*?){BLANK}*#*{BLANK}*$"
 UNDERLINE = rf"^(?:=+|-{{2,}}){BLANK}*$"
 NO_UNDERLINE = rf"^{BLANK}*(?:[-*+>]{BLANK}|\p{{Nd}}+[.)]{BLANK}|#|\||$)"
 SPACE = BLANK[:-1] + r"\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
-OUTER = rf"\A{SPACE}+|(?<!{SPACE}){SPACE}+\z"
+SPACES = "".join(c for c in map(chr, range(0x3001)) if re.fullmatch(SPACE, c))
 LEVELS = 6
 BLOCK = 128
 
@@ -40,7 +40,8 @@ def _quoted(pattern: str) -> str:
 
 
 def _stripped(expression: str) -> str:
-    return f"regexp_replace({expression}, {_quoted(OUTER)}, '')"
+    """Without surrounding blanks; trimmed from both ends, since a pattern would go through the whole text."""
+    return f"trim(BOTH '{''.join(f'\\u{ord(c):04x}' for c in SPACES)}' FROM {expression})"
 
 
 def _once(sql: str) -> str:
@@ -60,7 +61,7 @@ def _with_sections(documents: DataFrame, text_col: str = "text", *, min_chars: i
     last_empty = lambda a: f"if(size({a}) > 0 AND element_at({a}, -1) = '', slice({a}, 1, size({a}) - 1), {a})"
     add = lambda **columns: columns.items()
     steps = [
-        *add(_all=f"split(coalesce(`{text_col}`, ''), {_quoted(LINE_END)})"),
+        *add(_all=f"split(replace(coalesce(`{text_col}`, ''), '\r\n', '\n'), {_quoted(LINE_END)})"),
         *add(_all=last_empty("_all")),
         # The line that closes the front matter, counted from 1; 0 without one.
         *add(_cut=f"if(size(_all) > 0 AND {_stripped('_all[0]')} = '---', coalesce(array_position(transform(slice(_all, 2, size(_all)), x -> {_stripped('x')} IN ('---', '...')), true), 0), 0)"),
@@ -73,8 +74,8 @@ def _with_sections(documents: DataFrame, text_col: str = "text", *, min_chars: i
             transform(slice(split(part, '\n', -1), if(i > 0, 2, 1), greatest(size(split(part, '\n', -1)) - if(i > 0, 1, 0) - if(i < size(_inside), 1, 0), 0)), x -> false),
             if(i < size(_inside), transform(split(_inside[i], '\n', -1), x -> true), cast(array() as array<boolean>)))))"""),
         *add(_kinds=f"""split(regexp_replace(array_join(transform(_lines, (line, i) -> CASE WHEN _code[i] THEN '.'
-            WHEN {_stripped(f"regexp_extract(line, {_quoted(ATX)}, 2)")} != '' THEN 'a'
-            WHEN i + 1 < size(_lines) AND NOT get(_code, i + 1) AND get(_lines, i + 1) RLIKE {_quoted(UNDERLINE)} AND NOT line RLIKE {_quoted(NO_UNDERLINE)} THEN 'u' ELSE '.' END), ''), 'uu', 'u.'), '')"""),
+            WHEN startswith(line, '#') AND {_stripped(f"regexp_extract(line, {_quoted(ATX)}, 2)")} != '' THEN 'a'
+            WHEN i + 1 < size(_lines) AND NOT get(_code, i + 1) AND (startswith(get(_lines, i + 1), '=') OR startswith(get(_lines, i + 1), '--')) AND get(_lines, i + 1) RLIKE {_quoted(UNDERLINE)} AND NOT line RLIKE {_quoted(NO_UNDERLINE)} THEN 'u' ELSE '.' END), ''), 'uu', 'u.'), '')"""),
         *add(_heads="filter(sequence(0, size(_lines)), i -> get(_kinds, i) IN ('a', 'u'))"),
         *add(_ends="concat(_heads, array(size(_lines)))"),
         # Headings become a mark that no line holds, underlines a blank line: between the marks are the sections' own texts.
