@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .operators import chunking, sections
 from .queries import _table, query
+from .staging import stage
 
 BODY = r"concat('Text: ', regexp_replace(text, '[\t\n\x0b\f\r ]+', ' '{}))"
 
@@ -70,4 +71,5 @@ SELECT doc_id, CAST(ordinal AS INT) AS ordinal, substr(sha256(concat(doc_id, ':'
     CASE WHEN giving IS NOT NULL THEN substr(sha256(concat(doc_id, ':', CAST(giving AS VARCHAR), ':0')), 1, 16) END AS parent_chunk_id FROM n""")
 def j08_parent_chunks(spark, sf_dir):
     """The first chunk of each section that gives one, with the first chunk of the nearest section above that gives one."""
-    return chunking.chunks(_forms(spark, sf_dir)).where("part = 0").select("doc_id", "ordinal", "chunk_id", "parent_chunk_id")
+    # Written here, where what goes to Python at a time has a bound.
+    return stage(chunking.chunks(_forms(spark, sf_dir)).where("part = 0").select("doc_id", "ordinal", "chunk_id", "parent_chunk_id"), "parents")
