@@ -15,9 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import EmbeddingError
+from ..staging import split_repeated
 
 
-KNOWN_TOKENS = 1 << 20  # places of tokens that a task remembers before it starts anew
+KNOWN_TOKENS = 1 << 17  # places of tokens that a task remembers before it starts anew
+ROWS_AT_ONCE = 256  # vectors that a task makes at a time
 
 
 class Embedder(Protocol):
@@ -48,8 +50,27 @@ def md5_bucket(token: Column, dim: int) -> tuple[Column, Column]:
 
 
 def sparse_embedding(rows: DataFrame, id_col: str, text_col: str, dim: int, hasher: str = "blake2b") -> DataFrame:
-    """``id, bucket, weight``: signed token counts by bucket, scaled to unit length; texts without tokens have no rows."""
-    tokens = rows.select(F.col(id_col).alias("id"), F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))).alias("token"))
+    """``id, bucket, weight``: signed token counts by bucket, scaled to unit length; texts without tokens have no rows.  A text's
+    tokens are counted where it lies; only texts whose id repeats, which are one, are shuffled."""
+    alone, repeated = split_repeated(rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id")
+    embedder = HashingEmbedder(dim, hasher)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, tuple[int, float]] = {}
+        for part in (batch.iloc[at : at + ROWS_AT_ONCE] for batch in batches for at in range(0, len(batch), ROWS_AT_ONCE)):
+            if len(known) > KNOWN_TOKENS:
+                known.clear()
+            vectors = np.array([embedder.encode_one(t or "", known) for t in part["text"]])
+            row, bucket = np.nonzero(vectors)
+            yield pd.DataFrame({"id": part["id"].to_numpy()[row], "bucket": bucket.astype(np.int32), "weight": vectors[row, bucket]})
+
+    placed = alone.mapInPandas(run, f"id {alone.schema['id'].dataType.simpleString()}, bucket int, weight double")
+    return placed if repeated is None else placed.unionByName(_sparse_by_shuffle(repeated, dim, hasher))
+
+
+def _sparse_by_shuffle(rows: DataFrame, dim: int, hasher: str) -> DataFrame:
+    """``sparse_embedding`` of ``id, text``, whichever rows an id's tokens are in."""
+    tokens = rows.select("id", F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))).alias("token"))
     counts = tokens.groupBy("id", "token").agg(F.count("*").alias("n"))
     if hasher == "md5":
         bucket, sign = md5_bucket(F.col("token"), dim)
@@ -59,7 +80,7 @@ def sparse_embedding(rows: DataFrame, id_col: str, text_col: str, dim: int, hash
         placed = counts.join(vocabulary, "token").select("id", "bucket", (F.col("sign") * F.col("n")).alias("v"))
     sums = placed.groupBy("id", "bucket").agg(F.sum("v").alias("v")).where("v != 0")
     norms = sums.groupBy("id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return sums.join(norms, "id").select("id", "bucket", (F.col("v") / F.col("norm")).alias("weight"))
+    return sums.join(norms.withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id"))).select("id", "bucket", (F.col("v") / F.col("norm")).alias("weight"))
 
 
 class HashingEmbedder:
@@ -96,10 +117,10 @@ class HashingEmbedder:
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             known: dict[str, tuple[int, float]] = {}
-            for batch in batches:
+            for part in (batch.iloc[at : at + ROWS_AT_ONCE] for batch in batches for at in range(0, len(batch), ROWS_AT_ONCE)):
                 if len(known) > KNOWN_TOKENS:
                     known.clear()
-                yield pd.DataFrame({"id": batch["id"], "embedding": [self.encode_one(t or "", known).astype(np.float32) for t in batch["text"]]})
+                yield pd.DataFrame({"id": part["id"], "embedding": [self.encode_one(t or "", known).astype(np.float32) for t in part["text"]]})
 
         base = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         return base.mapInPandas(run, f"id {base.schema['id'].dataType.simpleString()}, embedding array<float>")
