@@ -28,6 +28,7 @@ from .ranking import top_k
 
 QUERY_BYTES = 16 << 20
 BLOCKS_A_TASK = 64
+ROWS_AT_ONCE = 1024  # vectors that a task multiplies at a time
 CLOSE = 2e-9  # what rounding to nine digits may hide
 ANGLE_SLACK = 1e-6  # far more than the error of an arc cosine
 RINGS = 4
@@ -138,12 +139,13 @@ def dense_search(
 
         def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             floors = {dim: np.full(len(q), -np.inf) for dim, (q, _) in sent.items()}
-            for batch in batches:
-                for dim, group in batch.groupby("dim"):
+            for part in (batch.iloc[at : at + ROWS_AT_ONCE] for batch in batches for at in range(0, len(batch), ROWS_AT_ONCE)):
+                for dim, group in part.groupby("dim"):
                     if dim in sent:
                         yield from _products(*sent[dim], _unit(group["v"]), group["id"].to_numpy(), k, floors[dim])
 
-        return top_k(base.mapInPandas(near, schema), k)
+        # A few rows a query, written while some megabytes of vectors at a time go to Python.
+        return stage(top_k(base.mapInPandas(near, schema), k), "near")
 
     return top_k(_multiplied(_meet(_pack(base, block_rows, "v"), _pack(asked, block_rows, "q"), False), schema, k), k)
 
