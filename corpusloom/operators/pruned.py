@@ -24,10 +24,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..staging import stage
+from . import ranking
 from .ranking import LexicalIndex, query_items, top_k
 
 PARTS = 64
 FEW_TERMS = 10
+SENT_BOUNDS = 1 << 18  # rows of bounds that are sent to the postings; more of them meet in a shuffle
 SLACK = 1e-7  # more than rounding can take from a bound
 POSTING = ["part", "term", "block"]
 
@@ -58,12 +60,17 @@ def write_clustered(index: LexicalIndex, path: str, *, parts: int = PARTS) -> Cl
     """Writes ``index`` clustered under ``path``.  A part that one common term fills is split over several tasks."""
     spark = index.postings.sparkSession
     kind = index.postings.schema["chunk_id"].dataType.simpleString()
-    rows = index.postings.join(index.lengths, "chunk_id").select(term_part(F.col("term"), parts).alias("part"), "term", length_class(F.col("n")).alias("block"), "chunk_id", "tf_text", "tf_head", F.col("n").cast("long").alias("n"))
+    counted = index.counted if index.counted is not None else index.postings.join(index.lengths, "chunk_id")
+    rows = counted.where("chunk_id is not null").select(term_part(F.col("term"), parts).alias("part"), "term", length_class(F.col("n")).alias("block"), "chunk_id", "tf_text", "tf_head", F.col("n").cast("long").alias("n"))
     by_part = lambda df, name: df.hint("rebalance", "part").sortWithinPartitions(*[c for c in (*POSTING, "chunk_id") if c in df.columns]).write.partitionBy("part").parquet(f"{path}/{name}")
     by_part(rows, "postings")
     facts = [F.count("*").alias("rows"), F.max("tf_text").alias("max_text"), F.max("tf_head").alias("max_head"), F.min("n").alias("min_n")]
     by_part(spark.read.schema(rows.schema).parquet(f"{path}/postings").groupBy(*POSTING).agg(*facts), "blocks")
-    index.terms.write.parquet(f"{path}/terms")
+    if index.counted is not None:  # the blocks, which are far fewer than the postings, know in how many chunks a term is
+        n_docs = spark.read.schema("term string, rows bigint").parquet(f"{path}/blocks").groupBy("term").agg(F.sum("rows").alias("n_docs"))
+        ranking.with_idf(n_docs, index.corpus).write.parquet(f"{path}/terms")
+    else:
+        index.terms.write.parquet(f"{path}/terms")
     index.corpus.write.parquet(f"{path}/corpus")
     return read_clustered(spark, path, id_type=kind, parts=parts, stemmed=index.stemmed)
 
@@ -127,7 +134,8 @@ def rounds(index: ClusteredIndex, queries: DataFrame, k: int, *, id_col: str = "
     bounds = stage(bounds.select("query_id", *POSTING, "weight", "rows", "bound", "first", "below"), "bounds")
     postings = index.postings.where(wanted).crossJoin(F.broadcast(index.corpus.select("avg_len")))
     share = F.col("weight") * _saturated(F.col("tf_text"), F.col("tf_head"), F.col("n"), average, weights, k1, b)
-    summed = lambda some: some.join(postings, POSTING).groupBy("query_id", "chunk_id", "block").agg(F.sum(share).alias("score"))
+    sent = F.broadcast if bounds.count() <= SENT_BOUNDS else lambda some: some
+    summed = lambda some: postings.join(sent(some), POSTING).groupBy("query_id", "chunk_id", "block").agg(F.sum(share).alias("score"))
     columns = ["query_id", *POSTING, "weight"]
 
     first = stage(_kth(summed(bounds.where("first").select(columns)), k), "threshold")
@@ -139,7 +147,9 @@ def rounds(index: ClusteredIndex, queries: DataFrame, k: int, *, id_col: str = "
     reach = scores.join(rest, ["query_id", "block"], "left").join(_kth(scores, k), "query_id", "left")
     candidates = stage(reach.where(F.col("least").isNull() | (F.col("score") + F.coalesce("rest", F.lit(0.0)) >= F.col("least") - SLACK)).select("query_id", "chunk_id", "block", "score"), "candidates")
     sought = candidates.select("query_id", "chunk_id", "block").join(later.select(columns), ["query_id", "block"])
-    shares = sought.join(postings, [*POSTING, "chunk_id"]).select("query_id", "chunk_id", share.alias("score"))
+    # Only the postings of left-out terms meet what is sought among them.
+    long = postings.join(sent(later.select(POSTING).distinct()), POSTING, "left_semi")
+    shares = sought.join(long, [*POSTING, "chunk_id"]).select("query_id", "chunk_id", share.alias("score"))
     return Rounds(bounds, scores, candidates, shares)
 
 
